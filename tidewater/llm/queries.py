@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import simhash
+from tidewater.llm import bpe, simhash
 from tidewater.session import table
 
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash}
+    return {"op4_bpe": op4_bpe, "op5_simhash": op5_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
