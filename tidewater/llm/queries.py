@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, html, simhash, topk, warc
+from tidewater.llm import bpe, html, langid, simhash, topk, warc
 from tidewater.llm.common import fresh_path, written
 from tidewater.session import table
 
@@ -37,8 +37,13 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op9_html": op9_html}
+    return {"op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op9_html": op9_html, "op10_langid": op10_langid}
 
 
 OP2_SQL = """
