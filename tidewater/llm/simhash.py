@@ -85,7 +85,8 @@ def links(fps: DataFrame) -> DataFrame:
     buckets = written(buckets.filter("n > 1"), "simhash-buckets")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
     pairs = buckets.filter("n = 2").select("a", "b")
-    some = index.join(buckets.filter(F.col("n") > 2).select("variant", "n"), "variant")
+    # The merge join deals both sides alike at every size, and Spark splits a hot variant's partition.
+    some = index.join(buckets.filter(F.col("n") > 2).select("variant", "n").hint("merge"), "variant")
     few = some.filter(F.col("n") <= BUCKET).select("variant", "fp")
     few_pairs = few.alias("x").join(few.alias("y"), "variant").filter("x.fp < y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     found = pairs.unionByName(few_pairs).filter(close)
