@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, html, langid, simhash, topk, warc
+from tidewater.llm import bpe, html, langid, secrets, simhash, topk, warc
 from tidewater.llm.common import fresh_path, written
 from tidewater.session import table
 
@@ -33,6 +33,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op9_html": op9_html, "op10_langid": op10_langid}
+    return {"op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_langid": op10_langid}
 
 
 OP2_SQL = """
@@ -78,5 +82,32 @@ FROM g
 """
 
 
+OP8_RULES = [(r.kind, r.pattern.replace("((?i)", "((?i:").replace("api_?key)", "api_?key))"), r.group, r.least) for r in secrets.RULES]
+
+
+def _op8_spans(i: int, kind: str, pattern: str, group: int, least: int) -> str:
+    q = pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {i} AS k, '{kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+    's': CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0) AS BIGINT),
+    'n': length(m[i]), 'core': length(core[i])}}), lambda x: x.core >= {least})) AS x
+FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{q}') AS gaps, regexp_extract_all(coalesce(text, ''), '{q}') AS m,
+             regexp_extract_all(coalesce(text, ''), '{q}', {group}) AS core FROM documents WHERE regexp_matches(coalesce(text, ''), '{q}'))"""
+
+
+OP8_SQL = f"""
+WITH spans AS ({" UNION ALL ".join(_op8_spans(i, *r) for i, r in enumerate(OP8_RULES))}
+), shown AS (SELECT doc_id, k, x.s AS s, concat(kind, ':', x.s, ':', x.s + x.n) AS span FROM spans
+), by_doc AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+         string_agg(span, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(span, ',' ORDER BY s, k) AS spans
+  FROM shown GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN by_doc b ON d.doc_id = b.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_warc": OP3_SQL}
+    return {"op2_topk": OP2_SQL, "op3_warc": OP3_SQL, "op8_secrets": OP8_SQL}
