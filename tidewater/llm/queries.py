@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, html, langid, secrets, simhash, topk, warc
+from tidewater.llm import bpe, html, langid, secrets, simhash, suffixes, topk, warc
 from tidewater.llm.common import fresh_path, written
 from tidewater.session import table
 
@@ -15,6 +15,10 @@ from tidewater.session import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = written(topk.quantised(table(spark, sf_dir, "embeddings")), "vectors")
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -47,7 +51,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_langid": op10_langid}
+    return {"op1_suffixes": op1_suffixes, "op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_langid": op10_langid}
 
 
 OP2_SQL = """
@@ -110,4 +114,4 @@ FROM documents d LEFT JOIN by_doc b ON d.doc_id = b.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_warc": OP3_SQL, "op8_secrets": OP8_SQL}
+    return {"op1_suffixes": op1_suffixes, "op2_topk": OP2_SQL, "op3_warc": OP3_SQL, "op8_secrets": OP8_SQL}
