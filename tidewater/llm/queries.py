@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import bpe, decontaminate, html, langid, secrets, simhash, suffixes, topk, warc
+from tidewater.llm import bpe, brown, decontaminate, html, langid, secrets, simhash, suffixes, topk, warc
 from tidewater.llm.common import fresh_path, written
 from tidewater.session import table
 
@@ -41,6 +41,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.report(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffixes": op1_suffixes, "op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_decontaminate": op6_decontaminate, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_langid": op10_langid}
+    return {"op1_suffixes": op1_suffixes, "op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_decontaminate": op6_decontaminate, "op7_brown": op7_brown, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_langid": op10_langid}
 
 
 OP2_SQL = """
