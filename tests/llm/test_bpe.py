@@ -58,5 +58,7 @@ def test_round_trip_and_odd_rows(spark, oracle):
 
 def test_columns(spark):
     docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    kept = bpe.round_trip(docs, PATH, P.PATTERN, keep_ids=True).collect()
+    assert [len(r.ids) for r in kept] == [r.n_tokens for r in kept] == [2, 0]
     back = bpe.decoded(bpe.with_ids(docs, PATH, P.PATTERN), PATH, P.PATTERN).toPandas()
     assert [bytes(b) for b in back.decoded] == [b"some text", b""]

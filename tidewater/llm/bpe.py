@@ -164,25 +164,31 @@ def decoded(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", bytes_
     return df.withColumn(bytes_col, run(ids_col))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``keep_ids`` the ids themselves.
 
     The text is encoded, then its ids are decoded, in one pass over the batch. ids_sha256 is over the decimal
     ids joined by commas, decoded_sha256 over the decoded bytes. A null text counts as empty: no tokens. Repeated
     rows and null doc_ids keep their rows, and other columns are not read.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    columns = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = pa.schema([*columns, ("ids", pa.list_(pa.int32()))] if keep_ids else columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
-        for batch in batches:
-            n, digests, back = [], [], []
-            for text in batch.column(1):
-                ids = coder.encode(text.as_py() or "")
-                n.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests), pa.array(back)], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                n, digests, back, kept = [], [], [], []
+                for text in batch.column(1):
+                    ids = coder.encode(text.as_py() or "")
+                    n.append(len(ids))
+                    digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                    if keep_ids:
+                        kept.append(np.array(ids, dtype=np.int32))
+                rows = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(kept, pa.list_(pa.int32()))] if keep_ids else rows, schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)

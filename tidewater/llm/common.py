@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,3 +41,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a path that ``written`` or ``fresh_path`` gave, whatever store it is in."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def if_small(df: DataFrame, most: int) -> DataFrame:
+    """The rows, to be broadcast if they have been counted to be at most ``most``; else a join deals them."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import if_small, written
 
 #: Places of the words that a mask picks.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 6, 7))
@@ -80,10 +80,10 @@ def leaks(
     tests = tests.distinct().select("item_id", F.xxhash64("text", F.length("text")).alias("item_key"), word_hashes(F.col("text")).alias("item"))
     tests = written(tests, "items")
     wanted = written(seeds(tests, F.col("item"), "item_key").withColumnRenamed("pos", "item_pos").distinct(), "item-seeds")
-    hits = seeds(texts, word_hashes(F.col("text")), "text_key").join(_checked(wanted, broadcast), ["seed", "mask"])
+    hits = seeds(texts, word_hashes(F.col("text")), "text_key").join(if_small(wanted, broadcast), ["seed", "mask"])
     places = written(hits.select("text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("at")).distinct(), "diagonals")
 
-    hit_keys = _checked(places.select("text_key").distinct(), broadcast)
+    hit_keys = if_small(places.select("text_key").distinct(), broadcast)
     words = texts.join(hit_keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", word_hashes(F.col("text")).alias("words"))
     by_item = tests.select("item_key", "item").dropDuplicates(["item_key"])
     cases = places.join(by_item, "item_key").join(words, "text_key")
@@ -97,12 +97,7 @@ def leaks(
     return rows.select("doc_id", "item_id", "top.n_words", "top.n_found", "top.similarity")
 
 
-def _checked(df: DataFrame, most: int) -> DataFrame:
-    """Broadcast the rows if they have been counted to be few."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaked; columns stay as they are."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("leaked_id")).distinct()
+    bad = if_small(leaks(docs, items).select(F.col("doc_id").alias("leaked_id")).distinct(), BROADCAST)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leaked_id"]), "left_anti")

@@ -15,6 +15,14 @@ from tidewater.session import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+PATTERN = public_tokenizers.PATTERN
+
+
+def vocabulary() -> str:
+    """The rank file that the queries and the pipeline encode with."""
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import fresh_path
+from tidewater.llm.common import fresh_path, if_small
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,8 @@ RULES = (
     Rule("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 1, False),
 )
 
+#: Blobs with findings whose addresses may be sent to every task.
+BROADCAST = 200_000
 FINDING = "struct<start:int,end:int,version:string>"
 
 
@@ -132,5 +134,5 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in whose text no rule finds a secret; columns stay as they are."""
     blob = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
     ledger = update_ledger(docs.select(blob.alias("blob"), F.coalesce("text", F.lit("")).alias("text")), fresh_path(docs.sparkSession, "ledger"))
-    bad = ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("bad_blob"))
+    bad = if_small(ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("bad_blob")), BROADCAST)
     return docs.join(bad, blob == F.col("bad_blob"), "left_anti")

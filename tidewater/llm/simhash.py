@@ -121,6 +121,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of repeated rows, one)."""
-    keep = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each component: that of the smallest doc_id (of rows that repeat it, one).
+
+    Rows without a doc_id, which nothing tells apart, are dropped. Columns stay as they are.
+    """
+    keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
