@@ -18,4 +18,4 @@ def all_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tidewater.plans import listing, rules, select, usage  # noqa: F401
+    from tidewater.plans import io, listing, monitoring, rules, select, usage  # noqa: F401
