@@ -125,8 +125,8 @@ def _stretches(texts: DataFrame, length: int, window: int) -> DataFrame:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare neighbours in a partition that is sorted by key, doc, text_key and pos.
 
-    kind 0: a row whose key another doc has too; later: whether its doc isn't the first of that key. kind 1: a
-    row of the first or last key of the partition, to be settled with other partitions. kind 2: the least
+    kind 0: a row whose key another doc has too; later: whether its doc isn't the first of that key. kind 1: a row
+    of the first or last key of the partition, of one doc each, to be settled with other partitions. kind 2: the least
     and the largest doc of these two keys. Rows that repeat in all columns are given once.
     """
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8()), ("later", pa.bool_())])
@@ -169,9 +169,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = low_of != high_of
         if key[-1] != first_key and now in (None, first_key):
             yield mark(first_key, *((low_of[0], high_of[0]) if is_first[0] else (low, high)))
-        if is_first.any():
-            yield out([x[is_first] for x in rows], 1, np.zeros(int(is_first.sum()), bool))
-        send = many[group] & ~is_first
+        least = doc == low_of[group]
+        ask = is_first & least
+        if ask.any():
+            yield out([x[ask] for x in rows], 1, np.zeros(int(ask.sum()), bool))
+        send = np.where(is_first, ~least, many[group])  # what follows the least doc of the first key is later for sure
         if send.any():
             yield out([x[send] for x in rows], 0, doc[send] != low_of[group[send]])
         now, low, high = key[-1], low_of[-1], high_of[-1]
