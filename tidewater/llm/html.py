@@ -4,9 +4,11 @@ The standard library's parser streams events. Block-level tags cut the page into
 Each line has the ratio of its characters to the tags since the line before. The ratios are smoothed with a
 Gaussian, and lines at or over the threshold (the standard deviation of the smoothed ratios, at most their peak)
 are the seeds of content. Short paragraphs of an article have low ratios, so seeds select regions: a seed's
-region is its article (or main) element, or else the nearest sectioning block around it. All lines of the
-selected regions are kept but those of boilerplate: elements, roles and class or id words of menus, headers,
-footers, sidebars, notices, adverts, forms and comments, and whatever is hidden, script or style.
+region is its article (or main) element, or else the nearest sectioning block around it. If a page has an article with a
+seed, its articles are the content. Else the content is what lies from the first to the last selected region, from the
+page's first-level heading on if that comes before. All lines of the content are kept but those of boilerplate: elements,
+roles and class or id words of menus, headers, footers, sidebars, notices, adverts, forms and comments, whatever is hidden,
+script or style, and, outside articles, lines of links alone.
 
 Pages are independent: one pass without a shuffle.
 """
@@ -72,7 +74,11 @@ class Lines(HTMLParser):
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.regions: list[int] = []
+        self.linked: list[bool] = []  # whether a line is links alone
+        self.titles: list[int] = []  # lines of first-level headings
+        self.whole: set[int] = set()  # regions of article and main elements
         self.parts: list[str] = []
+        self.outside = False  # whether the line has text outside links
         self.seen, self.made = 0, 1
 
     def cut(self) -> None:
@@ -84,8 +90,12 @@ class Lines(HTMLParser):
                 _, dropped, region, _ = self.open[-1]
                 self.texts.append(text)
                 self.tags.append(self.seen)
+                self.linked.append(not self.outside)
+                if self.open[-1][0] == "h1" or any(x[0] == "h1" for x in self.open):
+                    self.titles.append(len(self.texts) - 1)
                 self.regions.append(0 if dropped else region)
                 self.seen = 0
+            self.outside = False
 
     def pop(self, tag: str) -> None:
         while self.open[-1][0] != tag:
@@ -119,6 +129,8 @@ class Lines(HTMLParser):
         if tag in SECTIONS and not inside:
             self.made += 1
             region = self.made
+            if tag in WHOLE:
+                self.whole.add(region)
         self.open.append((tag, gone, region, inside or tag in WHOLE))
 
     def handle_endtag(self, tag):
@@ -132,6 +144,8 @@ class Lines(HTMLParser):
         if self.open[-1][1] and self.open[-1][0] in INLINE and not self.open[-2][1]:
             return  # a hidden word inside a line
         self.parts.append(data)
+        if not self.outside and not data.isspace():
+            self.outside = not any(x[0] == "a" for x in self.open)
 
 
 def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarray:
@@ -149,16 +163,22 @@ def main_text(html: str | None) -> str:
     parser.cut()
     if not parser.texts:
         return ""
-    regions = np.array(parser.regions)
+    regions, linked = np.array(parser.regions), np.array(parser.linked)
+    whole = np.isin(regions, list(parser.whole))
+    open_to = (regions > 0) & (whole | ~linked)
     ratios = np.array([len(t) for t in parser.texts]) / np.maximum(1, parser.tags)
-    ratios[regions == 0] = 0.0
-    smooth = smoothed(ratios)
-    smooth[regions == 0] = 0.0
+    smooth = smoothed(np.where(open_to, ratios, 0.0))
+    smooth[~open_to] = 0.0
     if not smooth.max() > 0:
         return ""
     seeds = smooth >= min(smooth.std(), smooth.max())
-    chosen = set(regions[seeds].tolist()) - {0}
-    return "\n".join(t for t, r in zip(parser.texts, parser.regions, strict=True) if r in chosen)
+    if (seeds & whole).any():
+        kept = whole & np.isin(regions, regions[seeds & whole])
+    else:
+        chosen = np.flatnonzero(np.isin(regions, regions[seeds]) & open_to)
+        first = next((i for i in parser.titles if i < chosen[0] and open_to[i]), chosen[0])
+        kept = open_to & (np.arange(len(regions)) >= first) & (np.arange(len(regions)) <= chosen[-1])
+    return "\n".join(t for t, k in zip(parser.texts, kept, strict=True) if k)
 
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
