@@ -356,3 +356,24 @@ def _(spark, d):
 def _(spark, d):
     names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     return table(spark, d, "lineitem").filter("l_quantity > 40").select(*names).orderBy(*names).limit(25)
+
+
+@query("lit", "SELECT r_regionkey, 1.5 AS f, 'it''s' AS s, true AS b FROM region")
+def _(spark, d):
+    return table(spark, d, "region").select("r_regionkey", F.lit(1.5).cast("decimal(2,1)").alias("f"), F.lit("it's").alias("s"), F.lit(True).alias("b"))
+
+
+@query("fn_utcnow", "SELECT count(*) AS n FROM region WHERE now() IS NOT NULL")
+def _(spark, d):
+    return table(spark, d, "region").filter(F.current_timestamp().isNotNull()).agg(F.count("*").alias("n"))
+
+
+@query("sel_dup_cols", "SELECT n_name AS n_name, n_name AS n_name_2 FROM nation")
+def _(spark, d):
+    twice = table(spark, d, "nation").select("n_name", "n_name")
+    return twice.toDF("n_name", "n_name_2")
+
+
+@query("nested_predicate", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3)) > 0")
+def _(spark, d):
+    return table(spark, d, "embeddings").filter(F.exists("embedding", lambda x: x > F.lit(0.3).cast("float"))).select("vec_id")
