@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, brown, decontaminate, html, langid, secrets, simhash, suffixes, topk, warc
 from tidewater.llm.common import fresh_path, written
@@ -24,7 +25,9 @@ def vocabulary() -> str:
 
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(c)
+    return found.select("doc_id", "n_words", "n_repeated", shown("spans"), shown("later_spans"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +73,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_suffixes": op1_suffixes, "op2_topk": op2_topk, "op3_warc": op3_warc, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_decontaminate": op6_decontaminate, "op7_brown": op7_brown, "op8_secrets": op8_secrets, "op9_html": op9_html, "op10_langid": op10_langid}
 
 
+#: Every stretch of 50 words, and the runs of those that another document has.
+OP1_SQL = """
+WITH texts AS (
+  SELECT DISTINCT doc_id, list_filter(string_split_regex(text, '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), stretches AS (
+  SELECT doc_id, len(w) AS n_words, p, md5(array_to_string(w[p + 1:p + 50], ' ')) AS h FROM (SELECT *, unnest(range(len(w) - 49)) AS p FROM texts WHERE len(w) >= 50)
+), shared AS (
+  SELECT s.*, s.doc_id > low AS later FROM stretches s JOIN (SELECT h, min(doc_id) AS low, max(doc_id) AS high FROM stretches GROUP BY h) g ON s.h = g.h WHERE low <> high
+), parts AS (SELECT doc_id, n_words, p, 0 AS part FROM shared UNION ALL SELECT doc_id, n_words, p, 1 FROM shared WHERE later
+), cut AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, part ORDER BY p) + 50 THEN 0 ELSE 1 END AS c FROM parts
+), runs AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, part ORDER BY p) AS run FROM cut
+), spans AS (SELECT doc_id, n_words, part, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, n_words, part, run)
+SELECT doc_id, CAST(n_words AS INTEGER) AS n_words, CAST(sum(b - a) FILTER (WHERE part = 0) AS INTEGER) AS n_repeated,
+       coalesce(string_agg(concat(a, ':', b), ',' ORDER BY a) FILTER (WHERE part = 0), '') AS spans,
+       coalesce(string_agg(concat(a, ':', b), ',' ORDER BY a) FILTER (WHERE part = 1), '') AS later_spans
+FROM spans GROUP BY doc_id, n_words
+"""
+
 OP2_SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -102,6 +123,21 @@ FROM g
 """
 
 
+#: All equal words of documents and items by diagonal, and the best window on each.
+OP6_SQL = """
+WITH d AS (
+  SELECT doc_id, text, unnest(w) AS w, unnest(range(len(w))) AS p FROM (SELECT DISTINCT doc_id, text, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)
+), t AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS q FROM (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5
+), hits AS (
+  SELECT doc_id, text, item_id, n, p - q AS diagonal, list(q ORDER BY q) AS qs FROM d JOIN t ON d.w = t.w GROUP BY doc_id, text, item_id, n, p - q HAVING count(*) >= ceil(0.8 * least(n, 13) - 1e-9)
+), scored AS (
+  SELECT *, list_max(list_transform(qs, lambda a: len(list_filter(qs, lambda b: b >= least(a, n - least(n, 13)) AND b < least(a, n - least(n, 13)) + least(n, 13))))) / least(n, 13) AS similarity FROM hits
+)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(len(qs) AS INTEGER) AS n_found, similarity FROM scored WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len(qs) DESC, similarity DESC) = 1
+"""
+
 OP8_RULES = [(r.kind, r.pattern.replace("((?i)", "((?i:").replace("api_?key)", "api_?key))"), r.group, r.least) for r in secrets.RULES]
 
 
@@ -130,4 +166,4 @@ FROM documents d LEFT JOIN by_doc b ON d.doc_id = b.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffixes": op1_suffixes, "op2_topk": OP2_SQL, "op3_warc": OP3_SQL, "op8_secrets": OP8_SQL}
+    return {"op1_suffixes": OP1_SQL, "op2_topk": OP2_SQL, "op3_warc": OP3_SQL, "op6_decontaminate": OP6_SQL, "op8_secrets": OP8_SQL}
