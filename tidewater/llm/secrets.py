@@ -131,8 +131,9 @@ def report(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no rule finds a secret; columns stay as they are."""
-    blob = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    ledger = update_ledger(docs.select(blob.alias("blob"), F.coalesce("text", F.lit("")).alias("text")), fresh_path(docs.sparkSession, "ledger"))
+    """The rows of ``docs`` in whose text no rule finds a secret; columns stay as they are, null texts are clean."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    blob = F.sha2(F.encode(text, "UTF-8"), 256)
+    ledger = update_ledger(docs.select(blob.alias("blob"), text.alias("text")), fresh_path(docs.sparkSession, "ledger"))
     bad = if_small(ledger.filter(F.size("findings") > 0).select(F.col("blob").alias("bad_blob")), BROADCAST)
-    return docs.join(bad, blob == F.col("bad_blob"), "left_anti")
+    return docs.join(bad, blob == bad["bad_blob"], "left_anti")
