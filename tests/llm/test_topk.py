@@ -45,3 +45,10 @@ def test_odd_rows(spark):
     got, want = run(spark, rows)
     assert got == want
     assert run(spark, []) == ([], [])
+
+
+def test_bounds_survive_large_values(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([1e5, 1.0, 0.01]) * rng.gauss(0, 1) for _ in range(40)]) for i in range(400)]
+    got, want = run(spark, rows, group=100)
+    assert got == want

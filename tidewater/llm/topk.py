@@ -63,7 +63,9 @@ class Columns:
             if at + BLOCK >= len(order) or len(alive) <= k:
                 continue
             left -= np.square(values.astype(np.float64)).sum(axis=0)
-            reach = np.sqrt(np.maximum(left, 0.0) * tail[at + BLOCK]) * (1 + 1e-9) + 1e-6 * (1 + np.sqrt(self.squares[alive]))
+            # The remaining mass is a difference of sums: what rounding may have taken is added again.
+            mass = np.maximum(left, 0.0) + 1e-12 * self.squares[alive]
+            reach = np.sqrt(mass * tail[at + BLOCK]) * (1 + 1e-9) + 1e-6
             low = np.partition(score - reach, len(alive) - k)[len(alive) - k]
             keep = np.flatnonzero(score + reach >= low)
             if len(keep) < len(alive):
