@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 from pyspark.sql.types import LongType, StructType
 
+from tidewater.llm.common import if_small, written
+
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always written whole.
 SMALL = 1000
+#: Digests of repeated payloads that may be sent to every task, about 60 bytes each.
+BROADCAST = 300_000
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, record_date string, refers_to string, "
@@ -50,12 +54,14 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
 
     refers_to is set on rows whose payload of at least ``small`` bytes a row of a larger page_id has too: the largest such.
     A null payload counts as empty. The largest id of each digest comes from a partial aggregate, and only digests
-    of several rows are joined back, so a hot payload makes no large group.
+    of several rows are joined back, so a hot payload makes no large group. Up to ``BROADCAST`` such digests, which are
+    counted first, are sent to the payloads; beyond that payloads and digests are dealt.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.select("page_id", "payload", F.octet_length("payload").cast("long").alias("bytes"), F.sha1(F.encode("payload", "UTF-8")).alias("digest"))
     large = rows.filter(F.col("bytes") >= small)
     last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("digest", "last")
+    last = if_small(written(last, "payloads"), BROADCAST)
     return rows.join(last, "digest", "left").select(
         "page_id", "payload", "bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to")
     )
