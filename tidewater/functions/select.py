@@ -33,7 +33,10 @@ def ne_float(a: Column, b: Column) -> Column:
 
 
 def ordered(a: Column, op: str, b: Column, strict: bool = False) -> Column:
-    """``a op b`` for one of < <= > >=; with NULL an error if ``strict``, else false."""
+    """``a op b`` for one of < <= > >=; with NULL an error if ``strict``, else false.
+
+    As a filter's own condition a plain comparison keeps the same rows and reaches the scan.
+    """
     found = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
     null = a.isNull() | b.isNull()
     return F.when(null, F.raise_error(F.lit("cannot order NULL")).cast("boolean") if strict else F.lit(False)).otherwise(found)

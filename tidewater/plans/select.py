@@ -33,12 +33,12 @@ def _(spark, d):
 
 @query("where", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 40")
 def _(spark, d):
-    return table(spark, d, "lineitem").filter(S.ordered(c("l_quantity"), ">", F.lit(40))).select("l_orderkey", "l_linenumber", "l_quantity")
+    return table(spark, d, "lineitem").filter(c("l_quantity") > 40).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("and_or_not", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_quantity > 45 OR l_discount = 0.1) AND NOT l_returnflag = 'A'")
 def _(spark, d):
-    keep = S.both(S.either(c("l_quantity") > 45, c("l_discount") == 0.1), ~S.eq(c("l_returnflag"), F.lit("A")))
+    keep = ((c("l_quantity") > 45) | (c("l_discount") == 0.1)) & ~S.eq(c("l_returnflag"), F.lit("A"))
     return table(spark, d, "lineitem").filter(keep).select("l_orderkey", "l_linenumber")
 
 
@@ -93,7 +93,7 @@ def _(spark, d):
 
 @query("between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 50000")
 def _(spark, d):
-    return table(spark, d, "orders").filter(S.between(c("o_totalprice"), F.lit(1000), F.lit(50000))).select("o_orderkey")
+    return table(spark, d, "orders").filter(c("o_totalprice").between(1000, 50000)).select("o_orderkey")
 
 
 @query("in_list", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 11) OR p_type IN ('ECONOMY', 'PROMO')")
@@ -160,9 +160,15 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.json_object_keys("props").alias("ks"))
 
 
-@query("from_path", "SELECT vec_id, round(CAST(unnest(embedding) AS DOUBLE), 5) AS x FROM embeddings")
+@query("from_path", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
 def _(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", F.round(c("x").cast("double"), 5).alias("x"))
+    return table(spark, d, "embeddings").select("vec_id", F.explode("embedding").alias("x")).select("vec_id", c("x").cast("double").alias("x"))
+
+
+@query("short_circuit", "SELECT l_orderkey, l_linenumber, l_linenumber <> 1 AND 10 // (l_linenumber - 1 + CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) > 3 AS x FROM lineitem")
+def _(spark, d):
+    n = c("l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.both(n != 1, F.expr("10 div (l_linenumber - 1)") > 3).alias("x"))
 
 
 @query("from_table", "SELECT s.r_name FROM region AS s")
