@@ -11,12 +11,16 @@ from tidewater.llm import bpe
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
 
-@pytest.fixture(scope="module")
-def oracle():
+def library_encoding():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.fixture(scope="module")
+def oracle():
+    return library_encoding()
+
+
 def texts():
     rng = random.Random(1)
     every = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
