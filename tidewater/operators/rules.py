@@ -73,27 +73,18 @@ def lifecycle_events(versions: DataFrame, rules: list[LifecycleRule], now: Colum
 
 
 def noncurrent_kept(versions: DataFrame, days: int, newer: int, now: Column) -> DataFrame:
-    """(key, version_id, deleted): noncurrent versions whose clock has run out go, but the newest ``newer`` that would stay count first.
+    """(key, version_id, deleted): noncurrent versions whose clock has run out go, but the newest ``newer`` stay.
 
-    versions: key, version_id, mod_time, is_latest, successor_time, locked. Going from new to old, a noncurrent version is
-    deleted if it is due, ``newer`` noncurrent ones before it were kept and it isn't locked; what is kept counts.
-    The count depends on the decisions before, so it is a fold over a key's versions in order.
+    versions: key, version_id, mod_time, is_latest, successor_time, locked. The rule is a count of what was kept, from new
+    to old: a due, unlocked noncurrent version is deleted once ``newer`` noncurrent ones were kept. Before the count is
+    reached nothing is deleted, and afterwards it stays reached. So it is reached when ``newer`` noncurrent versions
+    come before, whatever became of them, and a running count does without a list of a key's versions.
     """
-    due = expected_expiry(F.col("successor_time"), days) <= now
-    item = F.struct(
-        (-F.unix_micros(F.col("mod_time").cast("timestamp"))).alias("t"), "version_id", "is_latest", F.coalesce(due, F.lit(False)).alias("due"), "locked"
-    )
-    rows = versions.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("kept"), F.array().cast("array<struct<version_id:bigint,deleted:boolean>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        gone = ~x["is_latest"] & x["due"] & (state["kept"] >= newer) & ~x["locked"]
-        kept = state["kept"] + F.when(~x["is_latest"] & ~gone, 1).otherwise(0)
-        one = F.struct(x["version_id"].cast("bigint").alias("version_id"), gone.alias("deleted"))
-        return F.struct(kept.alias("kept"), F.concat(state["out"], F.array(one)).alias("out"))
-
-    folded = rows.select("key", F.explode(F.aggregate("items", start, step)["out"]).alias("x"))
-    return folded.select("key", "x.version_id", "x.deleted")
+    due = F.coalesce(expected_expiry(F.col("successor_time"), days) <= now, F.lit(False))
+    newest = Window.partitionBy("key").orderBy(F.desc("mod_time"), F.desc("version_id")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(F.col("is_latest"), 0).otherwise(1)).over(newest), F.lit(0))
+    deleted = ~F.col("is_latest") & due & ~F.col("locked") & (before >= newer)
+    return versions.select("key", "version_id", deleted.alias("deleted"))
 
 
 def lifecycle_preview(events: DataFrame, now: Column, horizons: list[int]) -> DataFrame:
