@@ -23,6 +23,9 @@ CASES = [
     ("<article><p>" + "x" * 300_000 + "</p><p>tail <!-- note --> end</article>", "x" * 300_000 + "\ntail end"),
     (page(f"<ul><li><a href='/'>Home</a></li></ul><div class='t'><h1>Title</h1></div><div class='c'><div><p>{BODY}</p></div><div><p>Short.</p></div><div><p>{BODY}</p></div></div><div class='comments'><p>{BODY}</p></div>"), "Title\n" + BODY.strip() + "\nShort.\n" + BODY.strip()),
     (page(f"<div><p>{BODY}</p></div><article><h1>A</h1><p>{BODY}</p><p><a href='x'>A link</a></p></article>"), "A\n" + BODY.strip() + "\nA link"),
+    ("<p>x</p> 1 < 2 <a href='", "x\n1 < 2"),
+    ("<a " * 60_000, ""),
+    ("<b>" * 30_000 + "<div>x</div>" * 30_000, "\n".join(["x"] * 30_000)),
     ("<article><header><h1>Own title</h1></header><p>Text</p><section class='comment-list'><p>Reader</p></section></article>", "Own title\nText"),
 ]
 

@@ -16,6 +16,7 @@ Pages are independent: one pass without a shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -44,7 +45,10 @@ STARTS = ("advert", "comment", "cookie", "sidebar", "newsletter", "breadcrumb",
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WHOLE = frozenset({"article", "main"})
 SECTIONS = frozenset("article main section div td body html center".split())
+#: Open inline elements that an opening tag looks through for a paragraph or item to end.
+LOOK_BACK = 200
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+OPENING = re.compile(r"<[A-Za-z/!?]")
 SPACE = re.compile(r"\s+")
 
 
@@ -71,6 +75,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, bool]] = [("", False, 1, False)]  # tag, dropped, region, inside
+        self.count: Counter[str] = Counter()  # of the open elements by tag
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.regions: list[int] = []
@@ -91,16 +96,20 @@ class Lines(HTMLParser):
                 self.texts.append(text)
                 self.tags.append(self.seen)
                 self.linked.append(not self.outside)
-                if self.open[-1][0] == "h1" or any(x[0] == "h1" for x in self.open):
+                if self.count["h1"]:
                     self.titles.append(len(self.texts) - 1)
                 self.regions.append(0 if dropped else region)
                 self.seen = 0
             self.outside = False
 
-    def pop(self, tag: str) -> None:
-        while self.open[-1][0] != tag:
-            self.open.pop()
-        self.open.pop()
+    def push(self, tag: str, dropped: bool, region: int, inside: bool) -> None:
+        self.open.append((tag, dropped, region, inside))
+        self.count[tag] += 1
+
+    def pop(self, depth: int) -> None:
+        """Close the elements from ``depth`` on."""
+        while len(self.open) > depth:
+            self.count[self.open.pop()[0]] -= 1
 
     def handle_starttag(self, tag, attrs):
         self.seen += 1
@@ -111,18 +120,18 @@ class Lines(HTMLParser):
         if tag in INLINE:
             if tag not in VOID:
                 gone = dropped or is_boilerplate(tag, named, inside)
-                self.open.append((tag, gone, region, inside))
+                self.push(tag, gone, region, inside)
             return
         self.cut()
         if tag in VOID:
             return
         ends = ENDS.get(tag, ())
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, max(0, len(self.open) - 1 - LOOK_BACK), -1):
             t = self.open[i][0]
             if t in ends or t == "p":
-                del self.open[i:]
+                self.pop(i)
                 break
-            if t not in INLINE and t not in ("p",):
+            if t not in INLINE:
                 break
         _, dropped, region, inside = self.open[-1]
         gone = dropped or is_boilerplate(tag, named, inside)
@@ -131,21 +140,24 @@ class Lines(HTMLParser):
             region = self.made
             if tag in WHOLE:
                 self.whole.add(region)
-        self.open.append((tag, gone, region, inside or tag in WHOLE))
+        self.push(tag, gone, region, inside or tag in WHOLE)
 
     def handle_endtag(self, tag):
         self.seen += 1
         if tag not in INLINE:
             self.cut()
-        if any(x[0] == tag for x in self.open):
-            self.pop(tag)
+        if self.count[tag]:
+            depth = len(self.open) - 1
+            while self.open[depth][0] != tag:
+                depth -= 1
+            self.pop(depth)
 
     def handle_data(self, data):
         if self.open[-1][1] and self.open[-1][0] in INLINE and not self.open[-2][1]:
             return  # a hidden word inside a line
         self.parts.append(data)
         if not self.outside and not data.isspace():
-            self.outside = not any(x[0] == "a" for x in self.open)
+            self.outside = not self.count["a"]
 
 
 def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarray:
@@ -157,8 +169,11 @@ def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndar
 
 def main_text(html: str | None) -> str:
     """The article of a page; empty if there is none."""
+    html = html or ""
+    ended = html.rfind(">") + 1
+    broken = OPENING.search(html, ended)  # a tag that the page's end cuts off is no text
     parser = Lines()
-    parser.feed(html or "")
+    parser.feed(html[: broken.start()] if broken else html)
     parser.close()
     parser.cut()
     if not parser.texts:
