@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -75,3 +76,29 @@ def test_odd_rows(spark):
     assert decontaminate.leaks(docs.limit(0), items).count() == 0
     plan = decontaminate.leaks(docs, items)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def allowed(n):
+    """Every way to substitute as many of n words as the threshold allows."""
+    return itertools.combinations(range(n), n - math.ceil(0.8 * n - 1e-9))
+
+
+@pytest.mark.parametrize("n", range(5, 14))
+def test_a_mask_avoids_the_substitutions(n):
+    for gone in allowed(n):
+        assert any(not {a + k for k in m} & {*gone} for m in decontaminate.masks_of(n) for a in range(n - m[-1])), gone
+
+
+def test_short_items_with_substitutions(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(5, 14)]
+    docs = []
+    for n, text in items:
+        for gone in allowed(n):
+            words = ["zz" if k in gone else w for k, w in enumerate(text.split())]
+            docs.append((len(docs), " ".join(["before", *words, "after"]), n))
+        one_more = [*text.split()[:1], *["zz"] * 3, *text.split()[4:]]
+        docs.append((len(docs), " ".join(one_more), None))
+    docs.append((len(docs), " ".join(items[0][1].split()[1:]), 5))  # at the edge of a text
+    d = spark.createDataFrame([r[:2] for r in docs], "doc_id long, text string")
+    got = decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, n) for i, _, n in docs if n}

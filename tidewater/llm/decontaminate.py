@@ -6,9 +6,9 @@ texts are joined with those of the items. A hit fixes a diagonal: where the item
 compared place by place, and the item counts as leaked if some window of ``SPAN`` of its words (the whole item, if it is
 shorter) has at least 0.8 of them in place.
 
-A window of 13 words with two substituted ones anywhere still holds a seed of the second mask, so for items
-of 13 words or more the join loses nothing. The first mask, five words in a row, is for shorter items: an unchanged one of
-five words or more is always found. Items of fewer than five words have no seed.
+The masks follow the item's length: however the substitutions lie that ``SIMILARITY`` allows, some mask picks none of them. A window
+of 13 words with two substituted ones still holds a seed of ``LONG``; items of 5 to 12 words have masks of four words in
+``SHORT``. Texts are cut by the masks of the lengths that occur. Items of fewer than five words are none.
 
 What is joined is small rows: a text's key, a place and a seed. Of the hits only distinct diagonals are kept, and they are
 what brings the words of a text and an item together, once for each distinct text. The seeds of the items are broadcast
@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import if_small, written
 
-#: Places of the words that a mask picks.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 6, 7))
+#: Places of the words that a mask picks, for windows of ``SPAN`` words.
+LONG = (0, 1, 3, 6, 7)
+#: The masks of shorter items by their number of words.
+_A, _B, _C, _D = (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)
+SHORT = {5: (_A, _B, _C, _D), 6: (_A, _C), 7: (_C,), 8: (_A,), 9: (_A,), 10: (_A, _B), 11: (_B,), 12: (_A,)}
 SPAN = 13
 SIMILARITY = 0.8
 #: Rows of four numbers that may be sent to every task.
@@ -43,10 +46,23 @@ def _seeds(words: str, i: int, mask: tuple[int, ...]) -> Column:
     return F.when(F.size(words) > mask[-1], pick).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeds(df: DataFrame, words: Column, key: str) -> DataFrame:
-    """(key, mask, pos, seed): a row for each mask and place at which it fits; ``words`` are the hashes of the words."""
+def masks_of(n_words: int) -> tuple[tuple[int, ...], ...]:
+    """The masks of an item of that many words."""
+    return (LONG,) if n_words >= SPAN else SHORT.get(n_words, ())
+
+
+def seeds(df: DataFrame, words: Column, key: str, by_length: dict[int, tuple], of_items: bool = False) -> DataFrame:
+    """(key, mask, pos, seed): a row for each mask and place at which it fits; ``words`` are the hashes of the words.
+
+    ``by_length`` has the masks of each item length that occurs (``SPAN`` for longer ones). Items have the seeds of their length's masks, texts those of all.
+    """
+    masks = sorted({m for some in by_length.values() for m in some})
     rows = df.select(key, words.alias("_words"))
-    rows = rows.select(key, F.posexplode(F.array(*[_seeds("_words", i, m) for i, m in enumerate(MASKS)])).alias("mask", "_all"))
+    found = []
+    for i, mask in enumerate(masks):
+        own = F.least(F.size("_words"), F.lit(SPAN)).isin([n for n, some in by_length.items() if mask in some])
+        found.append(F.when(own, _seeds("_words", i, mask)).otherwise(F.array().cast("array<bigint>")) if of_items else _seeds("_words", i, mask))
+    rows = rows.select(key, F.posexplode(F.array(*found).cast("array<array<bigint>>")).alias("mask", "_all"))
     return rows.select(key, "mask", F.posexplode("_all").alias("pos", "seed"))
 
 
@@ -79,8 +95,10 @@ def leaks(
     tests = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     tests = tests.distinct().select("item_id", F.xxhash64("text", F.length("text")).alias("item_key"), word_hashes(F.col("text")).alias("item"))
     tests = written(tests, "items")
-    wanted = written(seeds(tests, F.col("item"), "item_key").withColumnRenamed("pos", "item_pos").distinct(), "item-seeds")
-    hits = seeds(texts, word_hashes(F.col("text")), "text_key").join(if_small(wanted, broadcast), ["seed", "mask"])
+    lengths = [r[0] for r in tests.select(F.least(F.size("item"), F.lit(SPAN))).distinct().collect()]
+    by_length = {n: masks_of(n) for n in lengths}
+    wanted = written(seeds(tests, F.col("item"), "item_key", by_length, of_items=True).withColumnRenamed("pos", "item_pos").distinct(), "item-seeds")
+    hits = seeds(texts, word_hashes(F.col("text")), "text_key", by_length).join(if_small(wanted, broadcast), ["seed", "mask"])
     places = written(hits.select("text_key", "item_key", (F.col("pos") - F.col("item_pos")).alias("at")).distinct(), "diagonals")
 
     hit_keys = if_small(places.select("text_key").distinct(), broadcast)
