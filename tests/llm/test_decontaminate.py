@@ -102,3 +102,11 @@ def test_short_items_with_substitutions(spark):
     d = spark.createDataFrame([r[:2] for r in docs], "doc_id long, text string")
     got = decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, n) for i, _, n in docs if n}
+
+
+def test_a_leak_takes_its_text_alone(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(3, item), (3, "clean"), (None, item), (None, "clean too"), (4, "x " + item), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r.doc_id, r.text) for r in decontaminate.decontaminated(docs, items).collect()}
+    assert got == {(3, "clean"), (None, "clean too"), (4, None)}

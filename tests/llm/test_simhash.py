@@ -99,3 +99,12 @@ def test_odd_rows(spark):
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
     assert sorted(kept.toPandas().doc_id) == [4, 7]
+
+
+def test_shared_ids_keep_different_texts(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(40)) for _ in range(12)]
+    rows = [(7, t) for t in texts] + [(7, texts[0]), (9, texts[1]), (3, texts[2])]
+    kept = simhash.deduplicated(documents(spark, rows)).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+    assert {r.text: r.doc_id for r in kept} == {t: 3 if t == texts[2] else 7 for t in texts}

@@ -80,20 +80,19 @@ def _best(hits: str, span: int) -> Column:
     return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(F.col(hits), s, size), F.lit(0), lambda a, x: a + x)))
 
 
-def leaks(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-    span: int = SPAN, similarity: float = SIMILARITY, broadcast: int = BROADCAST,
-) -> DataFrame:
-    """One row for each document and item that leaked into it: doc_id, item_id, n_words, n_found, similarity.
+def text_key(text: Column) -> Column:
+    """What stands for a whole text."""
+    return F.xxhash64(text, F.length(text))
 
-    n_words are the item's, n_found those in place on the best diagonal, similarity the best window's share. Documents without a leak
-    give no row. Null texts hold no words. Rows that repeat an id are taken together, null ids too. Other
-    columns are not read; empty tables give an empty result. Texts are read whole.
-    """
+
+def _leaked(
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, span: int, similarity: float, broadcast: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts (doc_id, text, text_key), the items (item_id, item_key, item) and what leaked (text_key, item_key, top)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    texts = texts.withColumn("text_key", F.xxhash64("text", F.length("text")))
+    texts = texts.withColumn("text_key", text_key(F.col("text")))
     tests = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    tests = tests.distinct().select("item_id", F.xxhash64("text", F.length("text")).alias("item_key"), word_hashes(F.col("text")).alias("item"))
+    tests = tests.distinct().select("item_id", text_key(F.col("text")).alias("item_key"), word_hashes(F.col("text")).alias("item"))
     tests = written(tests, "items")
     lengths = [r[0] for r in tests.select(F.least(F.size("item"), F.lit(SPAN))).distinct().collect()]
     by_length = {n: masks_of(n) for n in lengths}
@@ -110,12 +109,27 @@ def leaks(
     scored = scored.withColumn("similarity", F.col("best") / F.least("n_words", F.lit(span))).filter(F.col("similarity") >= similarity)
     top = F.max(F.struct("n_found", "similarity", "n_words")).alias("top")
     leaked = written(scored.groupBy("text_key", "item_key").agg(top), "leaks")
+    return texts, tests, leaked
+
+
+def leaks(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+    span: int = SPAN, similarity: float = SIMILARITY, broadcast: int = BROADCAST,
+) -> DataFrame:
+    """One row for each document and item that leaked into it: doc_id, item_id, n_words, n_found, similarity.
+
+    n_words are the item's, n_found those in place on the best diagonal, similarity the best window's share. Documents without a leak
+    give no row. Null texts hold no words. Rows that repeat an id are taken together, null ids too. Other
+    columns are not read; empty tables give an empty result. Texts are read whole.
+    """
+    texts, tests, leaked = _leaked(docs, items, id_col, text_col, item_id_col, item_text_col, span, similarity, broadcast)
     rows = texts.select("doc_id", "text_key").join(leaked, "text_key").join(tests.select("item_id", "item_key"), "item_key")
     rows = rows.groupBy("doc_id", "item_id").agg(F.max("top").alias("top"))
     return rows.select("doc_id", "item_id", "top.n_words", "top.n_found", "top.similarity")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` into which no item leaked; columns stay as they are."""
-    bad = if_small(leaks(docs, items).select(F.col("doc_id").alias("leaked_id")).distinct(), BROADCAST)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["leaked_id"]), "left_anti")
+    """The rows of ``docs`` into whose text no item leaked, whatever their ids; columns stay as they are."""
+    *_, leaked = _leaked(docs, items, "doc_id", "text", "item_id", "text", SPAN, SIMILARITY, BROADCAST)
+    bad = if_small(leaked.select(F.col("text_key").alias("leaked_key")).distinct(), BROADCAST)
+    return docs.join(bad, text_key(docs["text"].cast("string")) == bad["leaked_key"], "left_anti")

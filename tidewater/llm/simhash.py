@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import written
@@ -52,17 +52,24 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long. Texts are read whole; nothing is shuffled."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def text_key(text: Column) -> Column:
+    """What stands for a whole text."""
+    return F.xxhash64(text, F.length(text))
+
+
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(id, fp), and text_key if ``keyed``: fp is the fingerprint as a signed long. Texts are read whole; nothing is shuffled."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *[("text_key", pa.int64())] * keyed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if keyed:
+        return source.withColumn("text_key", text_key(F.col("text"))).mapInArrow(run, "doc_id long, fp long, text_key long")
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -101,6 +108,13 @@ def links(fps: DataFrame) -> DataFrame:
     return found.unionByName(stars).distinct()
 
 
+def _rooted(fps: DataFrame, least: Column) -> DataFrame:
+    """(fp, least, root) for each distinct fingerprint: an aggregate of its rows, and its component's smallest fingerprint."""
+    distinct = written(fps.groupBy("fp").agg(least.alias("least")), "simhash-distinct")
+    roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits) and component_id.
 
@@ -110,9 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of ``docs``, whatever their names, are not read. An empty table gives an empty result.
     """
     fps = written(with_fingerprints(docs, id_col, text_col), "simhash-fps")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(fps, F.min("doc_id"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(component, "root").select("fp", "component_id")
     return fps.join(labels, "fp").select(
@@ -121,9 +133,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of rows that repeat it, one).
+    """``docs`` with one row of each component: that of the smallest doc_id, and among texts that share it of the smallest key.
 
-    Rows without a doc_id, which nothing tells apart, are dropped. Columns stay as they are.
+    Rows go by doc_id and text, so texts of different components stay though they share a doc_id; of rows that repeat both, one stays.
+    Rows without a doc_id are dropped. Columns stay as they are.
     """
-    keep = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+    rooted = _rooted(written(with_fingerprints(docs, keyed=True), "simhash-fps"), first)
+    keep = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key"))
+    same = (docs["doc_id"] == keep["kept_id"]) & (text_key(docs["text"].cast("string")) == keep["kept_key"])
+    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
