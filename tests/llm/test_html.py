@@ -35,6 +35,25 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+KEPT = [
+    (page(f"<article><h2 id='related-work'>Related</h2><p>{BODY}</p><section id='side-effects'><p>Nausea.</p></section><div id='social-history'><p>None.</p></div><h2 id='search'>Search</h2></article>"), "Related\n" + BODY.strip() + "\nNausea.\nNone.\nSearch"),
+    (page(f"<article><p>{BODY}</p><pre>x = 1 <span class='hljs-comment'># one</span> <i class='token comment'># two</i></pre></article>"), BODY.strip() + "\nx = 1 # one # two"),
+    (page(f"<article><p>{BODY}</p><p>a</p><p>b</p><p>c</p></article><article><p>Brief.</p></article>"), BODY.strip() + "\na\nb\nc\nBrief."),
+    (page(f"<div class='c'><div><p>{BODY}</p></div><div><p>a</p></div><div><p>b</p></div><div><p>c</p></div><div><p>The end.</p></div></div>"), BODY.strip() + "\na\nb\nc\nThe end."),
+]
+GONE = [
+    (page(f"<article><p>{BODY}</p><div class='post-related-links'><p>More</p></div><div id='comments'><p>Reader</p></div></article>"), BODY.strip()),
+    (page(f"<article><p>{BODY}</p><div class='related-reading'><p><a href='x'>One story</a></p><p><a href='y'>Other story</a></p></div></article>"), BODY.strip()),
+    (page(f"<article><p>{BODY}</p></article><div class='related'><article><p>Teaser</p></article></div>"), BODY.strip()),
+    (page(f"<div class='c'><p>{BODY}</p><p>a</p><p>b</p></div>", after="<div><p>All rights reserved</p></div>"), BODY.strip() + "\na\nb"),
+]
+
+
+@pytest.mark.parametrize("html, want", KEPT + GONE)
+def test_article_text_and_boilerplate(html, want):
+    assert main_text(html) == want
+
+
 def test_smoothing_keeps_mass():
     import numpy as np
 

@@ -5,10 +5,12 @@ Each line has the ratio of its characters to the tags since the line before. The
 Gaussian, and lines at or over the threshold (the standard deviation of the smoothed ratios, at most their peak)
 are the seeds of content. Short paragraphs of an article have low ratios, so seeds select regions: a seed's
 region is its article (or main) element, or else the nearest sectioning block around it. If a page has an article with a
-seed, its articles are the content. Else the content is what lies from the first to the last selected region, from the
+seed, that article and its siblings are the content. Else the content is what lies from the first selected region to the end of the
+element around all of them (a lone region directly in the body ends the content itself), from the
 page's first-level heading on if that comes before. All lines of the content are kept but those of boilerplate: elements,
 roles and class or id words of menus, headers, footers, sidebars, notices, adverts, forms and comments, whatever is hidden,
-script or style, and, outside articles, lines of links alone.
+script or style, and, outside articles, lines of links alone. Class and id words don't count on inline elements and headings. Inside
+an article they count if they are the whole of a class (or of an id, but for a section's) or if most of the element's text is links.
 
 Pages are independent: one pass without a shuffle.
 """
@@ -41,6 +43,12 @@ WORDS = frozenset(
     "recommendations trending popular pagination pager search login toolbar skip masthead topbar header".split()
 )
 STARTS = ("advert", "comment", "cookie", "sidebar", "newsletter", "breadcrumb", "navbar", "subscri", "sponsor", "footer")
+#: Words that may stand beside those where a whole class or id marks boilerplate.
+NEUTRAL = frozenset(
+    "area article articles bar block blog body box btn button buttons container content count entry footer form group icons inner item items link links list main "
+    "outer page panel post posts primary secondary section site story text thread title top bottom wp wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag ends without an end tag.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WHOLE = frozenset({"article", "main"})
@@ -52,21 +60,37 @@ OPENING = re.compile(r"<[A-Za-z/!?]")
 SPACE = re.compile(r"\s+")
 
 
-def is_boilerplate(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
+#: What an element's tag and attributes say of it; of a doubtful one its links decide.
+TEXT, DOUBTFUL, BOILERPLATE = range(3)
+
+
+def _marked(word: str, inside: bool) -> bool:
+    return (word in WORDS or word.startswith(STARTS)) and not (inside and word == "header")
+
+
+def sign(tag: str, attrs: dict[str, str | None], inside: bool) -> int:
     """inside: within an article or main element."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return BOILERPLATE
     if tag in ("html", "body", "article", "main"):
-        return False
+        return TEXT
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
-        return True
+        return BOILERPLATE
     if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
-    for word in TOKEN.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}"):
-        word = word.lower()
-        if (word in WORDS or word.startswith(STARTS)) and not (inside and word == "header"):
-            return True
-    return False
+        return BOILERPLATE
+    if tag in INLINE or tag in HEADINGS:
+        return TEXT
+    found = TEXT
+    classes = (attrs.get("class") or "").split()
+    for name in [*classes, attrs.get("id") or ""]:
+        words = [w.lower() for w in TOKEN.findall(name)]
+        if any(_marked(w, inside) for w in words):
+            if not inside:
+                return BOILERPLATE
+            if all(_marked(w, inside) or w in NEUTRAL for w in words) and (tag != "section" or name in classes):
+                return BOILERPLATE
+            found = DOUBTFUL
+    return found
 
 
 class Lines(HTMLParser):
@@ -74,11 +98,16 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 1, False)]  # tag, dropped, region, inside
+        #: tag, dropped, region, inside, number of the element, number of the doubtful element around
+        self.open: list[tuple[str, bool, int, bool, int, int]] = [("", False, 1, False, 0, 0)]
+        self.parents, self.names, self.last = [0], [""], [0]  # by element: its parent, tag, last element in it (0 while it is open)
+        self.of_region = {1: 0}  # the element of a region
         self.count: Counter[str] = Counter()  # of the open elements by tag
         self.texts: list[str] = []
         self.tags: list[int] = []
         self.regions: list[int] = []
+        self.elements: list[int] = []  # the element that a line ends in
+        self.doubtful: list[int] = []
         self.linked: list[bool] = []  # whether a line is links alone
         self.titles: list[int] = []  # lines of first-level headings
         self.whole: set[int] = set()  # regions of article and main elements
@@ -92,7 +121,9 @@ class Lines(HTMLParser):
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                _, dropped, region, _ = self.open[-1]
+                _, dropped, region, _, element, doubtful = self.open[-1]
+                self.elements.append(element)
+                self.doubtful.append(doubtful)
                 self.texts.append(text)
                 self.tags.append(self.seen)
                 self.linked.append(not self.outside)
@@ -102,25 +133,30 @@ class Lines(HTMLParser):
                 self.seen = 0
             self.outside = False
 
-    def push(self, tag: str, dropped: bool, region: int, inside: bool) -> None:
-        self.open.append((tag, dropped, region, inside))
+    def push(self, tag: str, dropped: bool, region: int, inside: bool, doubtful: int) -> None:
+        number = len(self.parents)
+        self.parents.append(self.open[-1][4])
+        self.names.append(tag)
+        self.last.append(0)
+        self.open.append((tag, dropped, region, inside, number, number if doubtful < 0 else doubtful))
         self.count[tag] += 1
 
     def pop(self, depth: int) -> None:
         """Close the elements from ``depth`` on."""
         while len(self.open) > depth:
-            self.count[self.open.pop()[0]] -= 1
+            gone = self.open.pop()
+            self.count[gone[0]] -= 1
+            self.last[gone[4]] = len(self.parents) - 1
 
     def handle_starttag(self, tag, attrs):
         self.seen += 1
         if tag == "br":
             self.parts.append(" ")
         named = dict(attrs)
-        _, dropped, region, inside = self.open[-1]
+        _, dropped, region, inside, _, doubtful = self.open[-1]
         if tag in INLINE:
             if tag not in VOID:
-                gone = dropped or is_boilerplate(tag, named, inside)
-                self.push(tag, gone, region, inside)
+                self.push(tag, dropped or sign(tag, named, inside) == BOILERPLATE, region, inside, doubtful)
             return
         self.cut()
         if tag in VOID:
@@ -133,14 +169,17 @@ class Lines(HTMLParser):
                 break
             if t not in INLINE:
                 break
-        _, dropped, region, inside = self.open[-1]
-        gone = dropped or is_boilerplate(tag, named, inside)
+        _, dropped, region, inside, _, doubtful = self.open[-1]
+        what = sign(tag, named, inside)
+        if what == DOUBTFUL and not doubtful:
+            doubtful = -1  # this one
         if tag in SECTIONS and not inside:
             self.made += 1
             region = self.made
+            self.of_region[region] = len(self.parents)
             if tag in WHOLE:
                 self.whole.add(region)
-        self.push(tag, gone, region, inside or tag in WHOLE)
+        self.push(tag, dropped or what == BOILERPLATE, region, inside or tag in WHOLE, doubtful)
 
     def handle_endtag(self, tag):
         self.seen += 1
@@ -152,6 +191,20 @@ class Lines(HTMLParser):
                 depth -= 1
             self.pop(depth)
 
+    def holds(self, element: int, other: int) -> bool:
+        """Whether ``element`` is ``other`` or around it. Elements are numbered in the page's order."""
+        return element <= other and (not self.last[element] or other <= self.last[element])
+
+    def around(self, first: int, last: int) -> int:
+        """The innermost element around these regions; around a lone region, its parent, or itself if that is the body."""
+        a, b = self.of_region[first], self.of_region[last]
+        up = self.parents[a]
+        if first == last and self.names[up] in ("", "html", "body"):
+            return a
+        while not self.holds(up, b):
+            up = self.parents[up]
+        return up
+
     def handle_data(self, data):
         if self.open[-1][1] and self.open[-1][0] in INLINE and not self.open[-2][1]:
             return  # a hidden word inside a line
@@ -179,20 +232,30 @@ def main_text(html: str | None) -> str:
     if not parser.texts:
         return ""
     regions, linked = np.array(parser.regions), np.array(parser.linked)
+    sizes, doubtful = np.array([len(t) for t in parser.texts]), np.array(parser.doubtful)
+    if doubtful.any():
+        inverse = np.unique(doubtful, return_inverse=True)[1]
+        links = np.bincount(inverse, sizes * linked) > np.bincount(inverse, sizes) / 2
+        regions[links[inverse] & (doubtful > 0)] = 0
     whole = np.isin(regions, list(parser.whole))
     open_to = (regions > 0) & (whole | ~linked)
-    ratios = np.array([len(t) for t in parser.texts]) / np.maximum(1, parser.tags)
+    ratios = sizes / np.maximum(1, parser.tags)
     smooth = smoothed(np.where(open_to, ratios, 0.0))
     smooth[~open_to] = 0.0
     if not smooth.max() > 0:
         return ""
     seeds = smooth >= min(smooth.std(), smooth.max())
     if (seeds & whole).any():
-        kept = whole & np.isin(regions, regions[seeds & whole])
+        parent = {r: parser.parents[parser.of_region[r]] for r in parser.whole}
+        seeded = {parent[r] for r in regions[seeds & whole]}
+        kept = whole & np.isin(regions, [r for r in parser.whole if parent[r] in seeded])
     else:
         chosen = np.flatnonzero(np.isin(regions, regions[seeds]) & open_to)
         first = next((i for i in parser.titles if i < chosen[0] and open_to[i]), chosen[0])
-        kept = open_to & (np.arange(len(regions)) >= first) & (np.arange(len(regions)) <= chosen[-1])
+        around = parser.around(int(regions[chosen].min()), int(regions[chosen].max()))
+        within = np.array([parser.holds(around, e) for e in parser.elements])
+        at = np.arange(len(regions))
+        kept = open_to & (at >= first) & ((at <= chosen[-1]) | within)
     return "\n".join(t for t, k in zip(parser.texts, kept, strict=True) if k)
 
 
