@@ -54,6 +54,11 @@ def test_article_text_and_boilerplate(html, want):
     assert main_text(html) == want
 
 
+@pytest.mark.parametrize("n", [10, 201, 5000])
+def test_unclosed_inline_elements_do_not_hide_a_paragraph(n):
+    assert main_text(page("<p class='notice'>Note" + "<b>" * n + f"<p>{BODY}</p>")) == BODY.strip()
+
+
 def test_smoothing_keeps_mass():
     import numpy as np
 

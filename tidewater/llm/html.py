@@ -53,8 +53,6 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WHOLE = frozenset({"article", "main"})
 SECTIONS = frozenset("article main section div td body html center".split())
-#: Open inline elements that an opening tag looks through for a paragraph or item to end.
-LOOK_BACK = 200
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 OPENING = re.compile(r"<[A-Za-z/!?]")
 SPACE = re.compile(r"\s+")
@@ -102,6 +100,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int, bool, int, int]] = [("", False, 1, False, 0, 0)]
         self.parents, self.names, self.last = [0], [""], [0]  # by element: its parent, tag, last element in it (0 while it is open)
         self.of_region = {1: 0}  # the element of a region
+        self.blocks: list[int] = []  # places in the stack of the elements that aren't inline
         self.count: Counter[str] = Counter()  # of the open elements by tag
         self.texts: list[str] = []
         self.tags: list[int] = []
@@ -135,6 +134,8 @@ class Lines(HTMLParser):
 
     def push(self, tag: str, dropped: bool, region: int, inside: bool, doubtful: int) -> None:
         number = len(self.parents)
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
         self.parents.append(self.open[-1][4])
         self.names.append(tag)
         self.last.append(0)
@@ -147,6 +148,8 @@ class Lines(HTMLParser):
             gone = self.open.pop()
             self.count[gone[0]] -= 1
             self.last[gone[4]] = len(self.parents) - 1
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
 
     def handle_starttag(self, tag, attrs):
         self.seen += 1
@@ -161,14 +164,8 @@ class Lines(HTMLParser):
         self.cut()
         if tag in VOID:
             return
-        ends = ENDS.get(tag, ())
-        for i in range(len(self.open) - 1, max(0, len(self.open) - 1 - LOOK_BACK), -1):
-            t = self.open[i][0]
-            if t in ends or t == "p":
-                self.pop(i)
-                break
-            if t not in INLINE:
-                break
+        if self.blocks and ((last := self.open[self.blocks[-1]][0]) == "p" or last in ENDS.get(tag, ())):
+            self.pop(self.blocks[-1])
         _, dropped, region, inside, _, doubtful = self.open[-1]
         what = sign(tag, named, inside)
         if what == DOUBTFUL and not doubtful:
