@@ -108,3 +108,11 @@ def test_shared_ids_keep_different_texts(spark):
     kept = simhash.deduplicated(documents(spark, rows)).collect()
     assert sorted(r.text for r in kept) == sorted(texts)
     assert {r.text: r.doc_id for r in kept} == {t: 3 if t == texts[2] else 7 for t in texts}
+
+
+def test_rows_without_an_id_keep_their_texts(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(40)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, a), (None, d), (None, d), (None, None)]
+    kept = simhash.deduplicated(documents(spark, rows)).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([(1, a), (5, b), (None, c), (None, d), (None, None)], key=str)

@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Edges are long pairs; loops, repeats and rows with a null end are ignored. Each round is two shuffles of the
     edges, and the number of rounds is logarithmic in the longest chain. Only the number of edges and a checksum
     reach the driver. Minima are kept by partial aggregates, so a hot node makes no large group. Every round is
-    written to the shared folder, so a lost executor costs that round alone.
+    written to the shared folder, so a lost executor costs that round alone. If the edges still change after ``max_rounds``, it is an error.
     """
     now = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -28,6 +28,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if (sign["n"], sign["s"]) == seen:
             break
         seen = (sign["n"], sign["s"])
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

@@ -4,15 +4,16 @@ Texts and benchmark items are cut into words (runs of letters and digits, in low
 fixed masks pick five words and ignore those between; the hash of the picked words is a seed. Seeds of the training
 texts are joined with those of the items. A hit fixes a diagonal: where the item would lie in the text. On it the words are
 compared place by place, and the item counts as leaked if some window of ``SPAN`` of its words (the whole item, if it is
-shorter) has at least 0.8 of them in place.
+shorter) has at least 0.8 of them in place. A window slides along a diagonal as the bits of one number.
 
 The masks follow the item's length: however the substitutions lie that ``SIMILARITY`` allows, some mask picks none of them. A window
 of 13 words with two substituted ones still holds a seed of ``LONG``; items of 5 to 12 words have masks of four words in
-``SHORT``. Texts are cut by the masks of the lengths that occur. Items of fewer than five words are none.
+``SHORT``. Items of fewer than five words allow no substitution, and their mask is the whole item. Texts are cut by the masks of the
+lengths that occur.
 
 What is joined is small rows: a text's key, a place and a seed. Of the hits only distinct diagonals are kept, and they are
-what brings the words of a text and an item together, once for each distinct text. The seeds of the items are broadcast
-after they have been counted, as are the diagonals; beyond ``BROADCAST`` rows either join is a shuffle.
+what brings the words of a text and an item together, once for each pair of a distinct text and an item. The seeds of the items
+are broadcast after they have been counted, as are the texts that they hit; beyond ``BROADCAST`` rows either join is a shuffle.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from tidewater.llm.common import if_small, written
 LONG = (0, 1, 3, 6, 7)
 #: The masks of shorter items by their number of words.
 _A, _B, _C, _D = (0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)
-SHORT = {5: (_A, _B, _C, _D), 6: (_A, _C), 7: (_C,), 8: (_A,), 9: (_A,), 10: (_A, _B), 11: (_B,), 12: (_A,)}
+SHORT = {1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: (_A,), 5: (_A, _B, _C, _D), 6: (_A, _C), 7: (_C,), 8: (_A,), 9: (_A,), 10: (_A, _B), 11: (_B,), 12: (_A,)}
 SPAN = 13
 SIMILARITY = 0.8
 #: Rows of four numbers that may be sent to every task.
@@ -66,18 +67,19 @@ def seeds(df: DataFrame, words: Column, key: str, by_length: dict[int, tuple], o
     return rows.select(key, "mask", F.posexplode("_all").alias("pos", "seed"))
 
 
-def _matches(words: str, item: str, at: str) -> Column:
-    """Whether each word of the item is in place, as an array of 0 and 1."""
-    return F.transform(
-        F.col(item), lambda w, j: F.when((j + F.col(at) >= 0) & (F.get(F.col(words), F.greatest(j + F.col(at), F.lit(0))) == w), 1).otherwise(0)
-    )
+def _on_diagonal(words: str, item: str, at: Column, span: int) -> Column:
+    """(n_found, best) where the item lies ``at`` words behind the text's beginning: its words in place, and the most of them in a window."""
+    first = F.greatest(F.lit(0), -at)
+    n = F.least(F.size(item), F.size(words) - at) - first
+    hits = F.zip_with(F.slice(F.col(item), first + 1, n), F.slice(F.col(words), first + at + 1, n), lambda x, y: x == y)
+    start = F.struct(F.lit(0).cast("long").alias("window"), F.lit(0).alias("n_found"), F.lit(0).alias("best"))
 
+    def step(state: Column, hit: Column) -> Column:
+        window = F.shiftleft(state["window"], 1).bitwiseOR(F.when(hit, 1).otherwise(0).cast("long")).bitwiseAND(F.lit((1 << span) - 1).cast("long"))
+        found = state["n_found"] + F.when(hit, 1).otherwise(0)
+        return F.struct(window.alias("window"), found.alias("n_found"), F.greatest(state["best"], F.bit_count(window)).alias("best"))
 
-def _best(hits: str, span: int) -> Column:
-    """The most matches in a window of ``span`` words, or of the whole item if that is shorter."""
-    size = F.least(F.size(hits), F.lit(span))
-    starts = F.sequence(F.lit(1), F.size(hits) - size + 1)
-    return F.array_max(F.transform(starts, lambda s: F.aggregate(F.slice(F.col(hits), s, size), F.lit(0), lambda a, x: a + x)))
+    return F.aggregate(hits, start, step)
 
 
 def text_key(text: Column) -> Column:
@@ -89,6 +91,8 @@ def _leaked(
     docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, span: int, similarity: float, broadcast: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The texts (doc_id, text, text_key), the items (item_id, item_key, item) and what leaked (text_key, item_key, top)."""
+    if not 0 < span < 64:
+        raise ValueError("a window has 1 to 63 words")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     texts = texts.withColumn("text_key", text_key(F.col("text")))
     tests = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
@@ -103,12 +107,12 @@ def _leaked(
     hit_keys = if_small(places.select("text_key").distinct(), broadcast)
     words = texts.join(hit_keys, "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", word_hashes(F.col("text")).alias("words"))
     by_item = tests.select("item_key", "item").dropDuplicates(["item_key"])
-    cases = places.join(by_item, "item_key").join(words, "text_key")
-    scored = cases.select("text_key", "item_key", _matches("words", "item", "at").alias("hits"))
-    scored = scored.select("text_key", "item_key", F.size("hits").alias("n_words"), F.aggregate("hits", F.lit(0), lambda a, x: a + x).alias("n_found"), _best("hits", span).alias("best"))
-    scored = scored.withColumn("similarity", F.col("best") / F.least("n_words", F.lit(span))).filter(F.col("similarity") >= similarity)
-    top = F.max(F.struct("n_found", "similarity", "n_words")).alias("top")
-    leaked = written(scored.groupBy("text_key", "item_key").agg(top), "leaks")
+    cases = places.groupBy("text_key", "item_key").agg(F.collect_list("at").alias("ats")).join(by_item, "item_key").join(words, "text_key")
+    size = F.size("item")
+    scored = F.transform("ats", lambda at: _on_diagonal("words", "item", at, span))
+    tops = F.transform(scored, lambda x: F.struct(x["n_found"].alias("n_found"), (x["best"] / F.least(size, F.lit(span))).alias("similarity"), size.alias("n_words")))
+    tops = cases.select("text_key", "item_key", F.array_max(F.filter(tops, lambda x: x["similarity"] >= similarity)).alias("top"))
+    leaked = written(tops.filter("top IS NOT NULL"), "leaks")
     return texts, tests, leaked
 
 
@@ -129,7 +133,10 @@ def leaks(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` into whose text no item leaked, whatever their ids; columns stay as they are."""
+    """The rows of ``docs`` into whose text no item leaked, whatever their ids; columns stay as they are.
+
+    Null texts hold no item and stay, as do rows that repeat; without items every row stays, and an empty table stays empty.
+    """
     *_, leaked = _leaked(docs, items, "doc_id", "text", "item_id", "text", SPAN, SIMILARITY, BROADCAST)
     bad = if_small(leaked.select(F.col("text_key").alias("leaked_key")).distinct(), BROADCAST)
     return docs.join(bad, text_key(docs["text"].cast("string")) == bad["leaked_key"], "left_anti")

@@ -128,7 +128,7 @@ OP6_SQL = """
 WITH d AS (
   SELECT doc_id, text, unnest(w) AS w, unnest(range(len(w))) AS p FROM (SELECT DISTINCT doc_id, text, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)
 ), t AS (
-  SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS q FROM (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5
+  SELECT item_id, len(w) AS n, unnest(w) AS w, unnest(range(len(w))) AS q FROM (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)
 ), hits AS (
   SELECT doc_id, text, item_id, n, p - q AS diagonal, list(q ORDER BY q) AS qs FROM d JOIN t ON d.w = t.w GROUP BY doc_id, text, item_id, n, p - q HAVING count(*) >= ceil(0.8 * least(n, 13) - 1e-9)
 ), scored AS (

@@ -52,14 +52,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def text_key(text: Column) -> Column:
-    """What stands for a whole text."""
-    return F.xxhash64(text, F.length(text))
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What stands for a row's id and whole text."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text, F.length(text))
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """(id, fp), and text_key if ``keyed``: fp is the fingerprint as a signed long. Texts are read whole; nothing is shuffled."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *[("text_key", pa.int64())] * keyed])
+    """(id, fp), and row_key if ``keyed``: fp is the fingerprint as a signed long. Texts are read whole; nothing is shuffled."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *[("row_key", pa.int64())] * keyed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +69,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if keyed:
-        return source.withColumn("text_key", text_key(F.col("text"))).mapInArrow(run, "doc_id long, fp long, text_key long")
+        return source.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).mapInArrow(run, "doc_id long, fp long, row_key long")
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -135,11 +135,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, and among texts that share it of the smallest key.
 
-    Rows go by doc_id and text, so texts of different components stay though they share a doc_id; of rows that repeat both, one stays.
-    Rows without a doc_id are dropped. Columns stay as they are.
+    Rows go by their id and text together, so texts of different components stay though they share a doc_id or have none. Rows without
+    a doc_id come last: one stays if its component has no other. Null and empty texts are one component with whatever
+    else has fingerprint zero. Of rows that repeat both, one stays. Columns stay as they are; an empty table stays empty.
     """
-    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
     rooted = _rooted(written(with_fingerprints(docs, keyed=True), "simhash-fps"), first)
-    keep = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("kept_id"), F.col("least.text_key").alias("kept_key"))
-    same = (docs["doc_id"] == keep["kept_id"]) & (text_key(docs["text"].cast("string")) == keep["kept_key"])
-    return docs.join(keep, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    keep = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    own = next(name for i in range(len(docs.columns) + 1) if (name := f"row_key_{i}") not in docs.columns)
+    # Both the join and the repeated rows go by one key, so that texts are dealt once.
+    keyed = docs.withColumn(own, row_key(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return keyed.join(keep.select(F.col("least.row_key").alias(own)), own, "left_semi").dropDuplicates([own]).select(docs.columns)
