@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tidewater.llm import secrets
 from tidewater.llm.common import fresh_path
@@ -63,3 +66,30 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert got[3] == "assign:0:12,hex:6:12" and got[4] == "assign:0:14"
     again = [r for r in spark.read.parquet(path).collect() if r.versions == [changed[2].version]]
     assert len(again) == 3
+
+
+def test_many_matches_and_long_runs_stay_fast(spark):
+    texts = ["token=abcdef " * 20_000, "eyJ" * 100_000, "-----BEGIN " * 20_000, "password " * 20_000 + " " * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_assign, r.spans) for r in secrets.report(df).collect()}
+    assert time.time() - began < 20
+    assert got[0] == (20_000, ",".join(f"assign:{13 * i}:{13 * i + 12}" for i in range(20_000)))
+    assert all(got[i] == (0, "") for i in (1, 2, 3))
+
+
+def test_a_token_begins_where_no_such_character_stands_before(spark):
+    token = "eyJ0123456789.eyJ0123456789.sig"
+    df = spark.createDataFrame([(1, token), (2, f"x{token}"), (3, f"({token} {token})"), (4, f"é{token}")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(df).collect()}
+    assert got == {1: "jwt:0:31", 2: "", 3: "jwt:1:32,jwt:33:64", 4: "jwt:1:32"}
+
+
+def test_no_python_on_the_main_path(spark):
+    df = spark.createDataFrame([(1, "token=abcdef")], "doc_id long, text string")
+    path = fresh_path(spark, "ledger")
+    for _ in range(2):
+        blobs = df.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("blob"), "text")
+        plans = [secrets.report(df, path), secrets.without_secrets(df), secrets._scanned(blobs.withColumn("done", F.array().cast("array<string>")), secrets.RULES)]
+        for plan in plans:
+            assert not any(x in plan._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))

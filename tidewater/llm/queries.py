@@ -138,15 +138,16 @@ SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_words, CAST(len(qs) AS INTEGER)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len(qs) DESC, similarity DESC) = 1
 """
 
-OP8_RULES = [(r.kind, r.pattern.replace("((?i)", "((?i:").replace("api_?key)", "api_?key))"), r.group, r.least) for r in secrets.RULES]
+OP8_RULES = [(r.kind, r.pattern.replace("((?i)", "((?i:").replace("api_?key)", "api_?key))"), r.group, r.least, r.inner) for r in secrets.RULES]
 
 
-def _op8_spans(i: int, kind: str, pattern: str, group: int, least: int) -> str:
+def _op8_spans(i: int, kind: str, pattern: str, group: int, least: int, inner: bool) -> str:
     q = pattern.replace("'", "''")
+    n = "length(core[i])" if inner else "length(m[i])"
     return f"""
 SELECT doc_id, {i} AS k, '{kind}' AS kind, unnest(list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
-    's': CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0) AS BIGINT),
-    'n': length(m[i]), 'core': length(core[i])}}), lambda x: x.core >= {least})) AS x
+    's': CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(m[1:i], lambda g: length(g))), 0) - {n} AS BIGINT),
+    'n': {n}, 'core': length(core[i])}}), lambda x: x.core >= {least})) AS x
 FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{q}') AS gaps, regexp_extract_all(coalesce(text, ''), '{q}') AS m,
              regexp_extract_all(coalesce(text, ''), '{q}', {group}) AS core FROM documents WHERE regexp_matches(coalesce(text, ''), '{q}'))"""
 

@@ -5,7 +5,8 @@ have scanned it and what they found. A scan takes the distinct blobs of its inpu
 pairs that the ledger has, scans the rest, appends to the ledger, and joins the findings back to all paths. A
 rule's version is a hash of its definition, so a changed rule is run anew over every blob and the others are not.
 
-Copies of a blob meet in partial aggregates, and the join back to the paths carries no texts.
+Copies of a blob meet in partial aggregates, and the join back to the paths carries no texts. A match's place is a running sum of
+lengths over the blob's matches, which lie where the blob lies.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import fresh_path, if_small
@@ -21,17 +23,18 @@ from tidewater.llm.common import fresh_path, if_small
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of ``pattern`` whose ``group`` has ``least`` characters or more."""
+    """Matches of ``pattern`` whose ``group`` has ``least`` characters or more. ``inner``: the span is the group alone, which ends the match."""
 
     kind: str
     pattern: str
     group: int
     least: int
     base: bool = True
+    inner: bool = False
 
     @property
     def version(self) -> str:
-        return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least)).encode()).hexdigest()[:16]
+        return hashlib.sha256(repr((self.kind, self.pattern, self.group, self.least, self.inner)).encode()).hexdigest()[:16]
 
 
 #: In the order in which spans of one start are listed.
@@ -40,40 +43,53 @@ RULES = (
     Rule("access", r"(AKIA[A-Z0-9]+)", 1, 20),
     Rule("hex", r"([0-9a-f]{24,})", 1, 24),
     Rule("pem", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1, False),
-    Rule("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 1, False),
+    # Only where no such character stands before: a run of them is read once, however often it begins anew.
+    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 1, False, True),
 )
 
 #: Blobs with findings whose addresses may be sent to every task.
 BROADCAST = 200_000
-FINDING = "struct<start:int,end:int,version:string>"
+FINDINGS = "array<struct<start:int,end:int,version:string>>"
+LEDGER = f"blob string, versions array<string>, findings {FINDINGS}"
+PIECES = "array<struct<rule:int,i:int,gap:int,match:int,core:int>>"
 
 
-def found(text: Column, rule: Rule) -> Column:
-    """The spans of a rule in a text, in code points: leftmost matches, none overlapping.
-
-    The text is split at the matches; lengths of the parts and of the matches add up to their places.
-    """
+def _pieces(text: Column, place: int, rule: Rule) -> Column:
+    """The lengths of a rule's matches, of what stands before each, and of their groups: leftmost matches, none overlapping."""
     pattern = F.lit(rule.pattern)
     parts = F.arrays_zip(
         F.split(text, rule.pattern, -1).alias("gap"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("core"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FINDING}>").alias("spans"))
-
-    def step(state: Column, part: Column) -> Column:
-        begin = state["at"] + F.length(part["gap"])
-        end = begin + F.coalesce(F.length(part["match"]), F.lit(0))
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.version).alias("version"))
-        more = F.concat(state["spans"], F.array(span))
-        return F.struct(end.alias("at"), F.when(F.length(part["core"]) >= rule.least, more).otherwise(state["spans"]).alias("spans"))
-
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step)["spans"]).otherwise(F.array().cast(f"array<{FINDING}>"))
+    lengths = F.transform(
+        F.filter(parts, lambda p: p["match"].isNotNull()),
+        lambda p, i: F.struct(F.lit(place).alias("rule"), i.alias("i"), F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("match"), F.length(p["core"]).alias("core")),
+    )
+    return F.when(text.rlike(rule.pattern), lengths).otherwise(F.array().cast(PIECES))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _scanned(unseen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The ledger's rows for ``unseen`` (blob, text, done), one row for each blob."""
+    versions = F.array(*[F.lit(r.version) for r in rules])
+    each = [F.when(F.array_contains("done", r.version), F.array().cast(PIECES)).otherwise(_pieces(F.col("text"), i, r)) for i, r in enumerate(rules)]
+    rows = unseen.select("blob", F.array_except(versions, "done").alias("versions"), F.explode_outer(F.concat(*each)).alias("p")).select("blob", "versions", "p.*")
+    before = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("match")).over(before).cast("int"))
+    of_rule = lambda values: F.get(F.array(*map(F.lit, values)), F.col("rule"))
+    start = F.col("end") - F.when(of_rule([r.inner for r in rules]), F.col("core")).otherwise(F.col("match"))
+    finding = F.struct(start.alias("start"), F.col("end").alias("end"), of_rule([r.version for r in rules]).alias("version"))
+    found = F.collect_list(F.when(F.col("core") >= of_rule([r.least for r in rules]), finding))
+    return rows.groupBy("blob").agg(F.first("versions").alias("versions"), found.cast(FINDINGS).alias("findings"))
+
+
+def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def update_ledger(blobs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -83,19 +99,16 @@ def update_ledger(blobs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES)
     """
     spark = blobs.sparkSession
     versions = F.array(*[F.lit(r.version) for r in rules])
-    if _exists(spark, path):
-        done = spark.read.parquet(path).groupBy("blob").agg(F.flatten(F.collect_list("versions")).alias("done"))
+    known = _ledger(spark, path)
+    if known is not None:
+        done = known.groupBy("blob").agg(F.flatten(F.collect_list("versions")).alias("done"))
         complete = done.filter(F.size(F.array_except(versions, "done")) == 0).select("blob")
         unseen = blobs.join(complete, "blob", "left_anti").dropDuplicates(["blob"]).join(done, "blob", "left")
         unseen = unseen.withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
     else:
         unseen = blobs.dropDuplicates(["blob"]).withColumn("done", F.array().cast("array<string>"))
-    text = F.col("text")
-    none = F.array().cast(f"array<{FINDING}>")
-    each = [F.when(F.array_contains("done", r.version), none).otherwise(found(text, r)) for r in rules]
-    scanned = unseen.select("blob", F.array_except(versions, "done").alias("versions"), F.concat(*each).alias("findings"))
-    scanned.write.mode("append").parquet(path)
-    return spark.read.schema(scanned.schema).parquet(path)
+    _scanned(unseen, rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def with_spans(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +144,10 @@ def report(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in whose text no rule finds a secret; columns stay as they are, null texts are clean."""
+    """The rows of ``docs`` in whose text no rule finds a secret; columns stay as they are.
+
+    Null and empty texts are clean; rows that repeat stay or go together; an empty table stays empty.
+    """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     blob = F.sha2(F.encode(text, "UTF-8"), 256)
     ledger = update_ledger(docs.select(blob.alias("blob"), text.alias("text")), fresh_path(docs.sparkSession, "ledger"))
