@@ -1,5 +1,13 @@
+import math
+import random
+import re
+from collections import Counter
+from html import unescape
+
+import numpy as np
 import pytest
 
+from tidewater.llm import html
 from tidewater.llm.html import extracted, main_text, smoothed
 
 BODY = "A paragraph that is long enough to stand out among the menus and the links of a page. " * 3
@@ -59,9 +67,87 @@ def test_unclosed_inline_elements_do_not_hide_a_paragraph(n):
     assert main_text(page("<p class='notice'>Note" + "<b>" * n + f"<p>{BODY}</p>")) == BODY.strip()
 
 
-def test_smoothing_keeps_mass():
-    import numpy as np
+def plain_selected(ratios, sizes, whole):
+    """The steps from ratios to selected lines, line by line."""
+    kernel = [math.exp(-(k**2) / 2) for k in range(-2, 3)]
+    at = lambda i: ratios[i] if 0 <= i < len(ratios) else 0
+    smooth = [sum(w * at(i + k) for w, k in zip(kernel, range(-2, 3), strict=True)) / sum(kernel) if ratios[i] else 0 for i in range(len(ratios))]
+    mean = sum(smooth) / len(smooth)
+    threshold = min(max(smooth), math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
+    runs = []
+    for i, x in enumerate(smooth):
+        if x > 0 and x >= threshold:
+            if runs and runs[-1][-1] == i - 1 and whole[i] == whole[i - 1]:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+    mass = [sum(sizes[i] * (html.WEIGHT if whole[i] else 1) for i in run) for run in runs]
+    return {i for run, m in zip(runs, mass, strict=True) if m >= html.SHARE * max(mass) for i in run}
+
+
+def test_selection_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.randrange(1, 40)
+        ratios = [rng.choice([0.0, rng.random() * 5, rng.random() * 200]) for _ in range(n)]
+        ratios[rng.randrange(n)] = 7.3
+        sizes = [rng.randrange(1, 500) for _ in range(n)]
+        whole = [rng.random() < 0.2 for _ in range(n)]
+        smooth = smoothed(np.array(ratios))
+        smooth[np.array(ratios) == 0] = 0
+        got = html.selected(smooth, np.array(sizes), np.array(whole))
+        assert set(np.flatnonzero(got).tolist()) == plain_selected(ratios, sizes, whole)
+
+
+LONG = BODY.strip() * 3
+#: Plain blocks: a menu of plain words, a line that stands alone, a text with a short paragraph in it.
+PLAIN = page("<div><ul>" + "<li>Go</li>" * 6 + f"</ul><p>{LONG[:300]}</p><ul>" + "<li>Go</li>" * 6 + f"</ul></div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>")
+
+
+def test_smoothing_and_threshold_select(monkeypatch):
+    want = "\n".join([LONG, "Short.", LONG])
+    assert main_text(PLAIN) == want
+    with monkeypatch.context() as m:
+        m.setattr(html, "smoothed", lambda ratios: ratios.copy())
+        assert main_text(PLAIN) != want
+    with monkeypatch.context() as m:
+        m.setattr(html, "clusters", lambda smooth, kind: (smooth > 0).astype(int))
+        assert main_text(PLAIN) != want
+
+
+MASS = [
+    (page(f"<article><p>Teaser of another story.</p></article><div class='c'><p>{LONG}</p><p>{LONG}</p></div>"), f"{LONG}\n{LONG}"),
+    (page(f"<div class='c'><div><p>Lead.</p><p>{BODY}</p></div><div><p>Brief.</p></div><div><p>{BODY}</p></div></div>", "<div><p>Site</p></div>"), "\n".join(["Lead.", BODY.strip(), "Brief.", BODY.strip()])),
+    (page(f"<div class='c'><p>{BODY}</p><p><a href='x'>Source</a></p><p>{BODY}</p><p><a href='y'>One</a></p><p><a href='z'>Two</a></p></div>"), "\n".join([BODY.strip(), "Source", BODY.strip()])),
+]
+
+
+@pytest.mark.parametrize("html, want", MASS)
+def test_mass_selects_regions(html, want):
+    assert main_text(html) == want
 
+
+def planted(html):
+    """The article of a generated page, by its own tags."""
+    inner = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", html, re.S)[1])
+    blocks = re.split(r"</?(?:h1|p|div|ul|li)>", inner.replace("<br>", " "))
+    return [w for b in blocks for w in unescape(b).split()]
+
+
+@pytest.mark.parametrize("hidden", [False, True])
+def test_planted_articles(spark, hidden):
+    """With ``hidden`` every element that says what it is becomes a plain block, so that ratios alone select."""
+    found = right = wanted = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        source = re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", r.html.replace(' class="ad"', "")) if hidden else r.html
+        got, want = main_text(source).split(), planted(r.html)
+        found, wanted = found + len(got), wanted + len(want)
+        right += sum((Counter(got) & Counter(want)).values())
+    print(f"recall {right / wanted:.4f}, precision {right / found:.4f}")
+    assert right / wanted > 0.99 and right / found > (0.97 if hidden else 0.999)
+
+
+def test_smoothing_keeps_mass():
     assert np.isclose(smoothed(np.array([0, 0, 0, 8.0, 0, 0, 0])).sum(), 8)
     assert len(smoothed(np.array([1.0]))) == 1
 

@@ -2,14 +2,16 @@
 
 The standard library's parser streams events. Block-level tags cut the page into lines (a line is a block's text).
 Each line has the ratio of its characters to the tags since the line before. The ratios are smoothed with a
-Gaussian, and lines at or over the threshold (the standard deviation of the smoothed ratios, at most their peak)
-are the seeds of content. Short paragraphs of an article have low ratios, so seeds select regions: a seed's
-region is its article (or main) element, or else the nearest sectioning block around it. If a page has an article with a
-seed, that article and its siblings are the content. Else the content is what lies from the first selected region to the end of the
-element around all of them (a lone region directly in the body ends the content itself), from the
-page's first-level heading on if that comes before. All lines of the content are kept but those of boilerplate: elements,
+Gaussian, and lines at or over the threshold (the standard deviation of the smoothed ratios, at most their peak) form clusters:
+runs of neighbouring such lines. A cluster's mass is its characters, which count ``WEIGHT`` times within an article or main
+element; clusters with ``SHARE`` of the greatest mass are selected. Short paragraphs of an article have low ratios, so clusters
+select regions: a line's region is its article (or main) element, or else the nearest sectioning block around it. Of selected
+articles the siblings belong to the content too. Of other selected regions the content is the innermost element around all of them
+(a lone region's parent, from that region on; a lone region directly in the body ends the content itself), and what lies between
+the page's first-level heading and it, if that comes before.
+All lines of the content are kept but those of boilerplate: elements,
 roles and class or id words of menus, headers, footers, sidebars, notices, adverts, forms and comments, whatever is hidden,
-script or style, and, outside articles, lines of links alone. Class and id words don't count on inline elements and headings. Inside
+script or style, and, outside articles, lines of links alone (but for a single one between lines of the content). Class and id words don't count on inline elements and headings. Inside
 an article they count if they are the whole of a class (or of an id, but for a section's) or if most of the element's text is links.
 
 Pages are independent: one pass without a shuffle.
@@ -58,6 +60,9 @@ OPENING = re.compile(r"<[A-Za-z/!?]")
 SPACE = re.compile(r"\s+")
 
 
+#: What a cluster's characters within an article or main element count, and the share of the greatest mass that selects a cluster.
+WEIGHT, SHARE = 8, 0.15
+
 #: What an element's tag and attributes say of it; of a doubtful one its links decide.
 TEXT, DOUBTFUL, BOILERPLATE = range(3)
 
@@ -217,6 +222,22 @@ def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndar
     return np.convolve(ratios, kernel / kernel.sum(), mode="full")[radius : radius + len(ratios)]
 
 
+def clusters(smooth: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The number of each line's cluster from 1 on, 0 for lines under the threshold. A cluster's lines are of one kind."""
+    over = (smooth > 0) & (smooth >= min(smooth.std(), smooth.max()))
+    begins = over.copy()
+    begins[1:] &= ~over[:-1] | (kind[1:] != kind[:-1])
+    return np.where(over, np.cumsum(begins), 0)
+
+
+def selected(smooth: np.ndarray, sizes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether each line is of a cluster that is selected by its mass."""
+    cluster = clusters(smooth, whole)
+    mass = np.bincount(cluster, sizes * np.where(whole, WEIGHT, 1.0))
+    mass[0] = 0.0
+    return (cluster > 0) & (mass[cluster] >= SHARE * mass.max())
+
+
 def main_text(html: str | None) -> str:
     """The article of a page; empty if there is none."""
     html = html or ""
@@ -241,18 +262,25 @@ def main_text(html: str | None) -> str:
     smooth[~open_to] = 0.0
     if not smooth.max() > 0:
         return ""
-    seeds = smooth >= min(smooth.std(), smooth.max())
+    seeds = selected(smooth, sizes, whole)
+    kept = np.zeros(len(regions), dtype=bool)
     if (seeds & whole).any():
         parent = {r: parser.parents[parser.of_region[r]] for r in parser.whole}
         seeded = {parent[r] for r in regions[seeds & whole]}
-        kept = whole & np.isin(regions, [r for r in parser.whole if parent[r] in seeded])
-    else:
-        chosen = np.flatnonzero(np.isin(regions, regions[seeds]) & open_to)
+        kept |= whole & np.isin(regions, [r for r in parser.whole if parent[r] in seeded])
+    if (seeds & ~whole).any():
+        # A single line of links between lines of its region is no menu.
+        single = (regions > 0) & linked & ~whole
+        single[1:] &= ~linked[:-1] & (regions[1:] == regions[:-1])
+        single[:-1] &= ~linked[1:] & (regions[:-1] == regions[1:])
+        single[[0, -1]] = False
+        chosen = np.flatnonzero(np.isin(regions, regions[seeds & ~whole]) & open_to)
         first = next((i for i in parser.titles if i < chosen[0] and open_to[i]), chosen[0])
-        around = parser.around(int(regions[chosen].min()), int(regions[chosen].max()))
+        low, high = int(regions[chosen].min()), int(regions[chosen].max())
+        around = parser.around(low, high)
         within = np.array([parser.holds(around, e) for e in parser.elements])
         at = np.arange(len(regions))
-        kept = open_to & (at >= first) & ((at <= chosen[-1]) | within)
+        kept |= (open_to | single) & (((at >= first) & (at <= chosen[-1])) | (within & ((at >= first) | (low < high))))
     return "\n".join(t for t, k in zip(parser.texts, kept, strict=True) if k)
 
 
