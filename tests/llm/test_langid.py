@@ -62,3 +62,29 @@ def test_odd_rows(spark, trained):
     nothing = langid.train(spark.read.parquet(DOCS).limit(0))
     assert langid.identified(df, nothing).toPandas().lang_pred.tolist() == ["und"] * 6
     assert [r.doc_id for r in langid.kept(df, trained, 0.0).collect()] == [None, 4, 4]
+
+
+def test_cut_takes_whole_windows():
+    text = bytes(range(256)) * 20
+    got = langid.cut(text)
+    assert len(got) == langid.WINDOWS * langid.WINDOW and got == langid.cut(text)
+    assert all(got[i : i + langid.WINDOW] in text for i in range(0, len(got), langid.WINDOW))
+    assert langid.cut(b"abc") == b"abc" and langid.cut(b"") == b""
+    assert langid.cut(text[:200]) == text[:192]
+
+
+def test_every_label_can_be_predicted(spark):
+    rows = [(i * 1000 + k, chr(0x4E00 + i) * 60, f"l{i}") for i in range(520) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.train(df)
+    assert len(net.languages) == len({r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2})
+
+
+def test_repeated_rows_do_not_swell_the_sample(spark):
+    df = spark.range(20_000).select(F.lit(8).cast("long").alias("doc_id"), F.lit("the same words again").alias("text"), F.lit("en").alias("lang"))
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "fit", lambda texts, labels: seen.append(len(texts)))
+        for sample in (400, 30_000):
+            langid.train(df, sample=sample)
+    assert seen[0] <= 800 and seen[1] == 20_000

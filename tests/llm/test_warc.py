@@ -55,3 +55,11 @@ def test_foreign_gzip_file(spark, tmp_path):
     warc.register(spark)
     got = spark.read.format("warc").load(str(tmp_path)).filter("record_type = 'metadata'").collect()
     assert [(bytes(r.payload), r.headers["x-long"], r.content_length) for r in got] == [(b"abc", "a b", 3)]
+
+
+def test_broken_length(spark, tmp_path):
+    record = b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Length: %s\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record % (b"metadata", b"three") + record % (b"resource", b"3") + record % (b"warcinfo", b"-1"))
+    warc.register(spark)
+    got = spark.read.format("warc").load(str(tmp_path)).collect()
+    assert [(r.record_type, r.content_length, r.payload and bytes(r.payload)) for r in got] == [("metadata", None, None), ("resource", 3, b"abc"), ("warcinfo", 0, b"")]

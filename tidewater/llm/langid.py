@@ -5,13 +5,15 @@ filter of width w adds one learned row for each of w bytes), their maxima over t
 rectifier to a softmax over the languages. A text's prediction is the mean of its windows' logarithms of
 probability, weighed by the bytes in them.
 
-The network is fitted on the driver on a bounded sample: at most ``SAMPLE`` labelled texts for each language and
-``WINDOWS`` windows of each text. Everything else, each whole text of the table, is predicted on the executors in one pass
-without a shuffle; what is sent to them is the network, whose size is fixed by its parameters.
+The network is fitted on the driver on a bounded sample: about ``SAMPLE`` labelled texts for each language, of each of which the
+executors cut ``WINDOWS`` windows. Every label of the training rows is a language. Everything else, each whole text of the
+table, is predicted on the executors in one pass without a shuffle; what is sent to them is the network, whose size is fixed by its
+parameters and the number of languages.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import written
+
 WINDOW = 96
 WIDTHS = (2, 3, 4)
 FILTERS = 10
 SAMPLE = 400
 WINDOWS = 6
-#: Languages that a network may tell apart.
-LANGUAGES = 500
 UNKNOWN = "und"
 #: Windows that are scored at a time.
 BATCH = 2048
@@ -72,17 +74,25 @@ def windows(text: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(n, window), sizes
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.01) -> Network:
-    """Train on whole labelled texts by Adam; the same input gives the same network."""
+def cut(text: bytes, most: int = WINDOWS) -> bytes:
+    """Up to ``most`` of a text's windows, in order, chosen by the text alone; a short last window only where it is the only one."""
+    n = len(text) // WINDOW
+    if n <= most:
+        return text[: max(n, 1) * WINDOW]
+    pick = np.sort(np.random.default_rng(zlib.crc32(text)).permutation(n)[:most])
+    return b"".join(text[i * WINDOW : (i + 1) * WINDOW] for i in pick)
+
+
+def fit(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = 6, rate: float = 0.01) -> Network:
+    """Train on labelled texts by Adam; the same input gives the same network."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
+    place = {name: i for i, name in enumerate(languages)}
     xs, ys = [], []
     for text, label in zip(texts, labels, strict=True):
-        x, sizes = windows(text.encode())
-        x = x[sizes > WINDOW // 4] if len(x) > 1 else x
-        pick = rng.permutation(len(x))[:WINDOWS]
-        xs.append(x[pick])
-        ys.append(np.full(len(pick), languages.index(label)))
+        x, _ = windows(text if isinstance(text, bytes) else text.encode())
+        xs.append(x)
+        ys.append(np.full(len(x), place[label]))
     k = len(languages)
     net = Network(
         languages,
@@ -170,20 +180,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Network:
-    """Fit a network on up to about ``sample`` texts of each language outside the held-out part.
+    """Fit a network on about ``sample`` texts of each language outside the held-out part, a few windows of each.
 
-    Which ones: those with the smallest hashes of their id, by a share for each language that comes from the
-    counts of all rows. Null texts, null languages and texts without a letter teach nothing.
+    Which ones: those with the smallest hashes of their id and text, by a share for each language that comes from the
+    counts of all rows, and twice ``sample`` for each language at most. Null texts, null languages and texts without a letter teach nothing.
     """
     usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    usable = usable.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return fit([], [])
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, sample / n))])
-    u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rows = usable.filter(u < share[F.col("lang")]).orderBy("doc_id", "text").limit(2 * sample * len(counts)).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    usable = usable.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    chosen = usable.join(counts, "lang").withColumn("u", u).filter(F.col("u") / float(1 << 30) < sample / F.col("n")).select("u", "lang", F.col("text").cast("binary").alias("text"))
+    schema = pa.schema([("u", pa.int64()), ("lang", pa.string()), ("text", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([cut(t.as_py()) for t in batch.column(2)], pa.binary())], schema=schema)
+
+    # Rows that repeat fall in or out together: the limit bounds what they can add.
+    sampled = chosen.mapInArrow(run, "u long, lang string, text binary").orderBy("u", "text", "lang").limit(2 * sample * counts.count())
+    rows = [(r["lang"], bytes(r["text"])) for r in sampled.collect()]
+    return fit([text for _, text in rows], [lang for lang, _ in rows])
 
 
 def identified(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,7 +222,11 @@ def identified(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, net: Network, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of ``least`` or more; columns stay as they are."""
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more; columns stay as they are.
+
+    Null and empty texts and texts without a letter go, with any ``least``. Repeated rows and null ids are judged by their text
+    like any other; an empty table stays empty.
+    """
 
     @F.pandas_udf("boolean")
     def sure(texts):

@@ -13,9 +13,6 @@ from tidewater.llm.common import fresh_path, written
 from tidewater.session import table
 
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-
-
 PATTERN = public_tokenizers.PATTERN
 
 
@@ -40,8 +37,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(), PATTERN)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

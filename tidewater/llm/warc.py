@@ -184,8 +184,15 @@ class WarcReader(DataSourceReader):
                 continue  # blank lines between records
             headers, _ = _fields(file)
             row = {c: headers.get(h) for c, h in FIELDS.items()} | {"headers": headers, "http_headers": None, "payload": None}
-            left = int(headers.get("content-length", 0))
+            try:
+                left = max(0, int(headers.get("content-length", "0")))
+            except ValueError:
+                left = None  # its end isn't known: the next record is where a line begins with the version
             row["content_length"] = left
+            if left is None:
+                if self.wanted(row):
+                    yield row
+                continue
             if self.wanted(row):
                 if body:
                     if headers.get("content-type", "").startswith("application/http"):
