@@ -2,55 +2,156 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
 from tidewater.operators import bursts, listing, metrics, policy, rules, sites, usage
+from tidewater.storage import fresh_path
+from tidewater.streaming import streams
 
 T0 = dt.datetime(2024, 1, 1, 10)
 
 
-def test_carried_storage(spark):
-    rows = [("2026-08-31", "logs", 3e10, 3e10, 3e10), ("2026-09-03", "logs", 3e10, 31e9, 3e10), ("2026-09-03", "site", 1e9, 1e9, 2e9)]
-    storage = spark.createDataFrame(rows, "day string, bucket string, avg double, peak double, last double").withColumn("day", F.to_date("day"))
-    by_day = usage.storage_by_day(storage, "2026-09-01", "2026-09-30")
-    got = {r.bucket: (round(r.gb_months, 6), r.peak) for r in usage.gb_months(by_day).collect()}
-    assert got == {"logs": (30.0, 31e9), "site": (round((1 + 27 * 2) / 30, 6), 1e9)}
-    feb = spark.createDataFrame([("2027-02-01", "b", 3e10, 3e10, 3e10)], storage.schema.simpleString()[7:-1].replace("day:date", "day:string")).withColumn("day", F.to_date("day"))
-    assert round(usage.gb_months(usage.storage_by_day(feb, "2027-02-01", "2027-02-28")).first().gb_months, 6) == 30
-    assert usage.storage_by_day(feb, "2027-01-30", "2027-02-02").select("day").distinct().count() == 2
+DAY = "day string, bucket string, avg double, peak double, last double"
 
 
-def test_report_takes_either_side(spark):
-    by_day = spark.createDataFrame([(dt.date(2026, 9, 3), "logs", 3e10, False, 1.0)], "day date, bucket string, bytes double, carried boolean, peak double")
-    traffic = spark.createDataFrame([("logs", 100, 1000, 1, 5, 0), ("logs", 50, 0, 0, 3, 0), ("gone", 1, 1, 1, 1, 1)], "bucket string, data_in long, data_out long, read long, write long, delete long")
-    got = {r.bucket: r for r in usage.usage_report(by_day, traffic).collect()}
-    assert (got["logs"].data_in, got["logs"].write, got["gone"].gb_months) == (150, 8, 0)
+def by_day(spark, rows, first, last):
+    storage = spark.createDataFrame(rows, DAY).withColumn("day", F.to_date("day"))
+    return usage.storage_by_day(storage, first, last)
 
 
-def test_usual_level(spark):
-    rows = [(d, "b", "deleted", 3, 1200) for d in range(8)] + [(9, "b", "deleted", 1, 9000)] + [(d, "few", "deleted", 0, 500) for d in range(3)]
-    got = {r.bucket: r.usual for r in bursts.usual(spark.createDataFrame(rows, "day int, bucket string, kind string, hour int, n long")).collect()}
-    assert got == {"b": 100, "few": 0}
+def test_a_gap_takes_the_last_record(spark):
+    rows = [("2023-05-02", "raw", 10.0, 40.0, 20.0), ("2023-05-02", "tmp", 1.0, 1.0, 1.0), ("2023-05-05", "raw", 50.0, 90.0, 60.0)]
+    got = {(r.day.day, r.bucket): (r.bytes, r.carried, r.peak) for r in by_day(spark, rows, "2023-05-01", "2023-05-06").collect()}
+    assert got == {
+        (2, "raw"): (10.0, False, 40.0), (2, "tmp"): (1.0, False, 1.0), (3, "raw"): (20.0, True, None), (3, "tmp"): (1.0, True, None), (4, "raw"): (20.0, True, None), (4, "tmp"): (1.0, True, None),
+        (5, "raw"): (50.0, False, 90.0), (6, "raw"): (60.0, True, None),
+    }
 
 
-def test_bursts(spark):
-    rows = [("logs", "AK1", "deleted", 1100), ("logs", "AK9", "deleted", 5), ("busy", "AK2", "deleted", 3000), ("web", "AK2", "overwritten", 999)]
-    rows += [(b, "AK3", "overwritten", 400) for b in ("x", "y", "z")]
+def test_records_before_a_period_carry_for_a_month(spark):
+    rows = [("2023-03-01", "raw", 7.0, 7.0, 7.0)]
+    assert by_day(spark, rows, "2023-04-01", "2023-04-02").count() == 2
+    assert by_day(spark, rows, "2023-04-02", "2023-04-03").count() == 0
+
+
+def test_a_day_weighs_as_its_month_has_days(spark):
+    rows = [("2024-02-28", "raw", 29e9, 1.0, 29e9)]  # a leap year
+    row = usage.gb_months(by_day(spark, rows, "2024-02-28", "2024-03-01")).first()
+    assert round(row.gb_months, 9) == round(2 + 29 / 31, 9) and row.peak == 1.0
+
+
+def test_periods():
+    assert usage.period("2024-02-28", "2024-03-01")[1] == dt.date(2024, 3, 1)
+    usage.period("2023-01-01", "2024-02-04")  # 400 days
+    for first, last in (("2023-01-01", "2024-02-05"), ("2024-01-02", "2024-01-01"), ("2024-1-01", "2024-01-02"), ("2024-02-30", "2024-03-01"), ("x", "y")):
+        with pytest.raises(ValueError):
+            usage.period(first, last)
+
+
+def test_report_has_storage_or_traffic_alone(spark):
+    stored = by_day(spark, [("2023-06-01", "only-stored", 30e9, 5.0, 30e9)], "2023-06-01", "2023-06-01")
+    moved = spark.createDataFrame([("only-moved", 2, 3, 5, 7, 11), ("only-moved", 20, 30, 50, 70, 110)], "bucket string, data_in long, data_out long, read long, write long, delete long")
+    got = {r.bucket: (r.gb_months, r.data_in, r.data_out, r["read"], r["write"], r["delete"]) for r in usage.usage_report(stored, moved).collect()}
+    assert got == {"only-stored": (1.0, 0, 0, 0, 0, 0), "only-moved": (0.0, 22, 33, 55, 77, 121)}
+
+
+def test_teams(spark):
+    teams = spark.createDataFrame([("zoo", ["a-1"], ["a-"]), ("art", ["a-1", "b"], ["a-1"]), ("bee", [], ["a-1", ""])], "name string, members array<string>, prefixes array<string>")
+    names = spark.createDataFrame([("a-1",), ("a-12",), ("a-2",), ("b",), ("c",)], "bucket string")
+    got = {r.bucket: (r.team, r.named_by_two) for r in usage.with_team(names, teams).collect()}
+    assert got == {"a-1": ("art", True), "a-12": ("art", False), "a-2": ("zoo", False), "b": ("art", False), "c": ("bee", False)}
+    assert "Cartesian" not in usage.with_team(names, teams)._jdf.queryExecution().executedPlan().toString()
+    assert usage.with_team(names, teams.limit(0)).filter("team IS NULL").count() == 5
+
+
+def test_segments(spark):
+    rows = [("2024-03-09", 5), ("2024-03-09", 6), ("2024-03-08", 10), ("2024-03-07", 1), ("2024-01-01", 1)]
+    segments = spark.createDataFrame(rows, "day string, bytes long").withColumn("day", F.to_date("day"))
+    got = sorted((r.day.day, r.bytes, r.running) for r in usage.kept_segments(segments, "2024-03-10", 30, 21).collect())
+    assert got == [(8, 10, 21), (9, 5, 11), (9, 6, 11)]
+
+
+def test_usual_level_is_the_upper_median_of_busiest_hours(spark):
+    schema = "day int, bucket string, kind string, hour int, n long"
+    level = lambda rows, **k: {r.bucket: r.usual for r in bursts.usual(spark.createDataFrame(rows, schema), **k).collect()}
+    ramp = [(day, "ramp", "overwritten", hour, 60 * day + hour) for day in range(14) for hour in (0, 5)]
+    assert level(ramp) == {"ramp": 36}  # the eighth of 14 busiest hours has 425; five minutes of it, rounded up
+    assert level([(0, "x", "deleted", 1, 30), (0, "x", "deleted", 1, 31), (1, "x", "deleted", 2, 10), (2, "x", "deleted", 2, 90)], days=3, minutes=60) == {"x": 61}
+    assert level([(13, "late", "deleted", 1, 10**6), (14, "late", "deleted", 1, 10**6)]) == {"late": 0}
+
+
+def test_bursts_name_their_top_credentials(spark):
+    rows = [("inbox", f"key{i}", "destroyed", 10 * i) for i in range(1, 6)] + [("quiet", "key1", "destroyed", 149)]
+    counts = spark.createDataFrame(rows, "bucket string, access_key string, kind string, n long")
+    level = spark.createDataFrame([("inbox", "destroyed", 14)], "bucket string, kind string, usual long")
+    found = lambda **k: [(r.bucket, r.n, r.usual, r.who) for r in bursts.bucket_bursts(counts, level, floor=150, **k).collect()]
+    assert found() == [("inbox", 150, 14, ["key5", "key4", "key3"])]
+    assert found(factor=150 / 14 + 0.01) == []
+    assert found(excluded=("inbox",)) == []
+
+
+def test_credentials_over_several_names(spark):
+    rows = [("p", "wide", "deleted", 70), ("q", "wide", "deleted", 80), ("p", "narrow", "deleted", 500), ("q", "both", "overwritten", 90), ("r", "both", "overwritten", 61)]
     counts = spark.createDataFrame(rows, "bucket string, access_key string, kind string, n long")
-    level = spark.createDataFrame([("busy", "deleted", 500)], "bucket string, kind string, usual long")
-    one = bursts.bucket_bursts(counts, level)
-    assert [(r.bucket, r.n, r.who) for r in one.collect()] == [("logs", 1105, ["AK1", "AK9"])]
-    assert bursts.bucket_bursts(counts, level, factor=5).count() == 2
-    assert bursts.bucket_bursts(counts, level, factor=5, excluded=("busy",)).count() == 1
-    assert [(r.access_key, r.n, r.n_buckets) for r in bursts.credential_bursts(counts, one, level).filter("access_key = 'AK3'").collect()] == [("AK3", 1200, 3)]
-
-
-def test_recent_minutes(spark):
-    now = dt.datetime(2024, 1, 1, 12, 0, 30)
-    rows = [(now - dt.timedelta(seconds=s), "logs", "AK1", k, n) for s, k, n in ((600, "deleted", 10), (120, "deleted", 7), (60, "destroyed", 3))]
-    got = bursts.recent(spark.createDataFrame(rows, "ts timestamp_ntz, bucket string, access_key string, kind string, n long"), F.lit(now).cast("timestamp_ntz"))
-    assert {r.kind: r.n for r in got.collect()} == {"deleted": 7, "destroyed": 3}
+    level = spark.createDataFrame([], "bucket string, kind string, usual long")
+    one = bursts.bucket_bursts(counts.filter("kind = 'overwritten'"), level, floor=80)
+    got = [(r.access_key, r.n, r.n_named) for r in bursts.credential_bursts(counts, one, level, floor=150).collect()]
+    assert got == [("wide", 150, 2)]
+
+
+def test_minutes_up_to_now(spark):
+    at = lambda h, m, s: dt.datetime(2023, 7, 8, h, m, s)
+    rows = [(at(23, 55, 59), 1), (at(23, 56, 0), 2), (at(23, 59, 59), 4), (at(0, 0, 0), 8)]
+    counters = spark.createDataFrame([(t, "b", "k", "deleted", n) for t, n in rows], "ts timestamp_ntz, bucket string, access_key string, kind string, n long")
+    total = lambda now, **k: sum(r.n for r in bursts.recent(counters, F.lit(now).cast("timestamp_ntz"), **k).collect())
+    assert total(at(23, 59, 10)) == 7 and total(at(23, 59, 10), minutes=4) == 6 and total(at(23, 56, 30)) == 3
+
+
+def test_incidents_open_go_on_and_close(spark):
+    at = lambda m: dt.datetime(2023, 7, 8, 10) + dt.timedelta(minutes=m)
+    now = lambda t: F.lit(t).cast("timestamp_ntz")
+    kept = spark.createDataFrame([], "bucket string, kind string, opened timestamp_ntz, last_seen timestamp_ntz, closed timestamp_ntz, peak long")
+    for minute, n in ((0, 50), (10, 90), (12, 70), (27, None), (40, 20)):
+        seen = spark.createDataFrame([("b", "deleted", n)] if n else [], "bucket string, kind string, n long")
+        kept = bursts.recorded(kept, seen, now(at(minute)))
+    got = [tuple(r) for r in bursts.listed(kept).select("opened", "last_seen", "closed", "peak").collect()]
+    assert got == [(at(40), at(40), None, 20), (at(0), at(12), at(27), 90)]
+    assert bursts.listed(kept, open_only=True).count() == 1
+    later = bursts.recorded(kept, spark.createDataFrame([], "bucket string, kind string, n long"), now(at(27) + dt.timedelta(days=90, seconds=1)))
+    assert [r.opened for r in later.collect()] == [at(40)]
+
+
+def test_access_for_everyone_and_members(spark):
+    people = spark.createDataFrame([("ann",), ("bob",)], "principal string")
+    members = spark.createDataFrame([("bob", "team")], "principal string, member_of string")
+    grants = spark.createDataFrame([("*", "look", "Allow", True), ("team", "look", "Deny", False), ("ann", "edit", "Allow", False), ("team", "edit", "Deny", True)], "holder string, action string, effect string, certain boolean")
+    review = policy.access_review(people, members, grants)
+    assert {(r.principal, r.action): r.decision for r in review.collect()} == {("ann", "look"): "allowed", ("bob", "look"): "conditional", ("ann", "edit"): "conditional", ("bob", "edit"): "denied"}
+
+
+def test_version_markers(spark):
+    rows = [(k, v, T0 + dt.timedelta(minutes=v)) for k in ("a", "b", "c") for v in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "key string, version_id long, mod_time timestamp_ntz")
+    page = lambda *x: [(r.key, r.version_id, r.is_latest) for r in listing.list_versions(df, *x).collect()]
+    assert page("a", 2, 2) == [("a", 1, False), ("b", 3, True)]
+    assert page("a", 1, 2) == [("b", 3, True), ("b", 2, False)]
+    assert page("a", 9, 1) == [("b", 3, True)]
+    assert page("b", None, 5) == [("c", 3, True), ("c", 2, False), ("c", 1, False)]
+
+
+def test_late_rows_and_closed_windows(spark):
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp, bucket string, access_key string, kind string, n long"
+    rows = lambda *x: spark.createDataFrame([(t, "b", "k", "deleted", n) for t, n in x], schema).coalesce(1)
+    path, out, state = (fresh_path(spark, n) for n in ("late", "late-out", "late-state"))
+    for batch in (rows((at(10, 0), 1), (at(12, 0), 2)), rows((at(10, 0), 100), (at(11, 30), 4), (at(14, 0), 8))):
+        batch.write.mode("append").parquet(path)
+        slots = streams.minute_slots(spark.readStream.schema(schema).parquet(path))
+        slots.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.minute, r.n) for r in spark.read.schema(slots.schema).parquet(out).collect())
+    assert got == [(at(10, 0), 1), (at(11, 30), 4), (at(12, 0), 2)]  # the late hundred is left out, 14:00 is open
 
 
 def versions(spark, n=5, locked=()):

@@ -97,3 +97,60 @@ def test_csv_lines(spark):
     with pytest.raises(Exception, match="OverMaxRecordSize"):
         value(spark, sinks.guarded(F.repeat(lit("x"), 2_000_000)))
     assert value(spark, sinks.json_line(a=lit("1"), b=lit(None, "string"))) == '{"a":1,"b":null}'
+
+
+@pytest.mark.parametrize(
+    "text, as_int, as_float",
+    [("1e30", -(2**63), 1e30), ("9223372036854775808", -(2**63), 9223372036854775808.0), ("-1e19", -(2**63), -1e19), ("nan", -(2**63), None), ("0x1.8p3", 12, 12.0), ("-0X.8P1", -1, -1.0),
+     ("0x1_0p0", 16, 16.0), ("0x10", None, None), ("0xp1", None, None), ("1e400", None, None), ("0x1p1024", None, None), ("0x1fffffffffffffffffp-4", 2**63 - 1, None), ("1e", None, None)],
+)
+def test_number_casts_at_the_edges(spark, text, as_int, as_float):
+    if text != "0x1fffffffffffffffffp-4":
+        assert value(spark, S.cast_int(lit(text))) == as_int
+    if as_float is not None or text not in ("nan", "0x1fffffffffffffffffp-4"):
+        assert value(spark, S.cast_float(lit(text))) == as_float
+    if as_int is None:
+        for cast in (S.cast_int, S.cast_float):
+            with pytest.raises(Exception, match="could not parse"):
+                value(spark, cast(lit(text), strict=True))
+
+
+def test_strict_casts_let_null_pass(spark):
+    assert value(spark, S.cast_int(lit(None, "string"), strict=True)) is None
+    assert value(spark, S.cast_float(lit("0x1.fffffffffffffp1023"), strict=True)) == pytest.approx(1.7976931348623157e308)
+
+
+def test_cast_string(spark):
+    assert value(spark, S.cast_string(lit(None, "int"), "int")) == "NULL"
+    assert value(spark, S.cast_string(lit(1234567.5), "float")) == "1.2345675e+06"
+    assert value(spark, S.cast_string(lit(float("nan")), "float")) == "NaN"
+    assert value(spark, S.cast_string(lit(True), "bool")) == "true"
+    assert value(spark, S.cast_string(lit("2024-05-06 07:08:09", "timestamp"), "timestamp")) == "2024-05-06T07:08:09Z"
+
+
+@pytest.mark.parametrize(
+    "pattern, shown",
+    [
+        ("y yy yyy yyyyy", "2024 24 2024 02024"), ("M/MM/MMM/MMMM/MMMMM", "3/03/Mar/March/M"), ("d dd ddd", "7 07 007"), ("h:mm a|hh|H", "11:05 PM|11|23"), ("s.S s.SSS SSSSSSSSSSS", "9.0 9.045 04500000000"),
+        ("n", "45000000"), ("X XXX x xx xxx xxxx xxxxx", "Z Z +00 +0000 +00:00 +0000 +00:00"), ("yyyy'T'HH''mm", "2024T23'05"), ("'it''s' d", "it's 7"), ("", ""), ("b-!", "b-!"), ("'open d", "open d"),
+    ],
+)
+def test_to_string(spark, pattern, shown):
+    assert value(spark, S.to_string(lit("2024-03-07 23:05:09.045", "timestamp"), pattern)) == shown
+
+
+def test_timezone_parts(spark):
+    for text, hour, minute in (("2024-01-01T10:00Z", 0, 0), ("2024-01-01T10:00:00-03:30", -3, -30), ("2024-01-01T10:00:00+05:45", 5, 45), ("2024T", 0, 0), ("x", None, None)):
+        assert value(spark, S.timezone_part(lit(text), "TIMEZONE_HOUR")) == hour and value(spark, S.timezone_part(lit(text), "TIMEZONE_MINUTE")) == minute
+
+
+@pytest.mark.parametrize("x, json, g", [(float("nan"), "null", "NaN"), (float("inf"), "null", "+Inf"), (float("-inf"), "null", "-Inf"), (None, None, None)])
+def test_floats_without_a_number(spark, x, json, g):
+    assert value(spark, sinks.float_json(lit(x, "double"))) == json
+    assert value(spark, sinks.float_g(lit(x, "double"))) == g
+
+
+def test_counts_of_missing_values(spark):
+    rows = spark.createDataFrame([('{"a":1}',), ('{"a":null}',), ("{}",), ("[1]",)], "t string").select(F.parse_json("t").alias("v"))
+    assert rows.agg(S.count_json(F.col("v"), "$.a")).first()[0] == 3
+    assert spark.createDataFrame([("",), (None,), ("x",)], "t string").agg(S.count_csv(F.col("t"))).first()[0] == 3

@@ -6,13 +6,17 @@ Numbers of which one is a float are equal within 1e-6. Text that comes untyped f
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewater.sources.sinks import float_g
+
 TOLERANCE = 1e-6
 INT = r"^\s*[+-]?[0-9]+\s*$"
+HEX = r"^\s*([+-]?)0[xX]([0-9a-fA-F_]*)(?:\.([0-9a-fA-F_]*))?[pP]([+-]?[0-9]{1,6})\s*$"
 FLOAT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 # --- comparisons ---------------------------------------------------------------------------------------------------
@@ -96,15 +100,50 @@ def nullif(a: Column, b: Column) -> Column:
 # --- casts ---------------------------------------------------------------------------------------------------------
 
 
-def cast_int(text: Column) -> Column:
-    """An int's text, else a float's, truncated; NULL if it is neither."""
-    return F.when(text.rlike(INT), F.trim(text).try_cast("bigint")).when(text.rlike(FLOAT), F.trim(text).try_cast("double").try_cast("bigint"))
+#: What a number out of the range of integers becomes.
+OUT_OF_RANGE = -(1 << 63)
+
+
+def _or_error(x: Column, text: Column, strict: bool, kind: str) -> Column:
+    return F.when(text.isNotNull() & x.isNull(), F.raise_error(F.lit(f"could not parse as {kind}"))).otherwise(x) if strict else x
+
+
+def hex_float(text: Column) -> Column:
+    """The value of ``0x1.8p3`` and its like, with an exponent of two; of over 15 digits the others only count by their place."""
+    part = lambda i: F.regexp_extract(text, HEX, i)
+    whole, fraction = F.regexp_replace(part(2), "_", ""), F.regexp_replace(part(3), "_", "")
+    digits = F.ltrim(F.concat(whole, fraction), F.lit("0"))
+    kept = F.substring(digits, 1, 15)
+    power = part(4).try_cast("int") + 4 * (F.greatest(F.length(digits) - 15, F.lit(0)) - F.length(fraction))
+    number = F.coalesce(F.conv(kept, 16, 10).try_cast("double"), F.lit(0.0))
+    value = number * F.pow(F.lit(2.0), power.cast("double")) * F.when(part(1) == "-", -1.0).otherwise(1.0)
+    return F.when(text.rlike(HEX) & (F.length(F.concat(whole, fraction)) > 0) & (F.abs(value) != float("inf")), value)
 
 
-def cast_float(text: Column) -> Column:
+def cast_float(text: Column, strict: bool = False) -> Column:
+    """A decimal or hexadecimal float, inf or nan by name; else NULL, or an error if ``strict``. Decimals beyond the range are no floats."""
     low = F.lower(F.trim(text))
     named = F.when(low.isin("inf", "+inf", "infinity", "+infinity"), float("inf")).when(low.isin("-inf", "-infinity"), float("-inf")).when(low == "nan", float("nan"))
-    return F.coalesce(named, F.when(text.rlike(FLOAT), low.try_cast("double")))
+    decimal = F.when(text.rlike(FLOAT) & (F.length(low) <= 800), low.try_cast("double"))
+    found = F.coalesce(named, F.when(F.abs(decimal) != float("inf"), decimal), hex_float(text))
+    return _or_error(found, text, strict, "float")
+
+
+def float_to_int(x: Column) -> Column:
+    """A float truncated; NaN and what is out of range become the smallest integer."""
+    return F.when(F.isnan(x) | (x >= 2.0**63) | (x < -(2.0**63)), F.lit(OUT_OF_RANGE)).otherwise(x.try_cast("bigint"))
+
+
+def cast_int(text: Column, strict: bool = False) -> Column:
+    """An int's text, else a float's, truncated; else NULL, or an error if ``strict``."""
+    found = F.coalesce(F.when(text.rlike(INT), F.trim(text).try_cast("bigint")), float_to_int(cast_float(text)))
+    return _or_error(F.when(text.isNotNull(), found), text, strict, "int")
+
+
+def cast_string(x: Column, kind: str) -> Column:
+    """The text of a value of ``kind``: int, float, string, bool or timestamp. NULL is the text ``NULL``."""
+    shown = {"float": float_g, "timestamp": format_timestamp}.get(kind, lambda v: v.cast("string"))(x)
+    return F.coalesce(shown, F.lit("NULL"))
 
 
 def cast_bool(text: Column) -> Column:
@@ -141,6 +180,47 @@ def format_timestamp(ts: Column) -> Column:
     )
 
 
+def to_string(ts: Column, pattern: str) -> Column:
+    """An instant of UTC by a pattern of letters; other characters stand for themselves, as does what is between quotes.
+
+    A run of one letter is one part: y year (``yy`` its last two digits), M month (MMM, MMMM its name, MMMMM its first letter), d day,
+    h and H hour of 12 and 24, m minute, s second, each with as many digits as letters at least; S that many digits of the
+    fraction, n nanoseconds, a AM or PM, X and x the offset (X: Z).
+    """
+    padded = lambda x, k: F.when(F.length(x.cast("string")) >= k, x.cast("string")).otherwise(F.lpad(x.cast("string"), k, "0"))
+    shown = lambda layout: F.date_format(ts, layout)
+    nanos = lambda: F.concat(shown("SSSSSS"), F.lit("000"))
+    names = {3: lambda: shown("MMM"), 4: lambda: shown("MMMM")}
+    parts = {
+        "y": lambda k: padded(F.year(ts) % 100, 2) if k == 2 else padded(F.year(ts), k),
+        "M": lambda k: padded(F.month(ts), k) if k < 3 else names.get(k, lambda: F.substring(shown("MMMM"), 1, 1))(),
+        "d": lambda k: padded(F.dayofmonth(ts), k), "H": lambda k: padded(F.hour(ts), k), "h": lambda k: padded((F.hour(ts) + 11) % 12 + 1, k),
+        "m": lambda k: padded(F.minute(ts), k), "s": lambda k: padded(F.second(ts), k), "S": lambda k: F.rpad(F.substring(nanos(), 1, k), k, "0"),
+        "n": lambda k: nanos().cast("int").cast("string"), "a": lambda k: F.when(F.hour(ts) < 12, "AM").otherwise("PM"),
+        "X": lambda k: F.lit("Z"), "x": lambda k: F.lit({1: "+00", 3: "+00:00"}.get(k, "+00:00" if k > 4 else "+0000")),
+    }
+    out = []
+    for m in re.finditer(r"'((?:[^']|'')+)(?:'|$)|(?:'')+|(.)\2*", pattern, re.DOTALL):
+        if m[2] in parts and m[2] is not None:
+            out.append(parts[m[2]](len(m[0])))
+        else:
+            out.append(F.lit(m[1].replace("''", "'") if m[1] else m[0].replace("''", "'") if m[0][0] == "'" else m[0]))
+    return F.concat(F.lit(""), *out)
+
+
+def timezone_part(text: Column, part: str) -> Column:
+    """EXTRACT of TIMEZONE_HOUR or TIMEZONE_MINUTE: of the offset that a timestamp's text has, both with its sign; 0 for Z or none."""
+    offset = F.regexp_extract(text, STAMP, 8)
+    digits = F.substring(offset, 2, 2) if part == "TIMEZONE_HOUR" else F.substring(offset, 5, 2)
+    number = F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint")) * F.when(offset.startswith("-"), -1).otherwise(1)
+    return F.when(cast_timestamp(text).isNotNull(), number)
+
+
+def utcnow() -> Column:
+    """The instant of the query, one for all its rows."""
+    return F.current_timestamp()
+
+
 # --- strings -------------------------------------------------------------------------------------------------------
 
 
@@ -192,3 +272,13 @@ def date_diff(part: str, a: Column, b: Column) -> Column:
 def total(x: Column) -> Column:
     """SUM is a float, and 0 over nothing."""
     return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
+
+
+def count_csv(field: Column) -> Column:
+    """COUNT of a CSV field: every record has one, be it short or empty."""
+    return F.count(F.lit(1))
+
+
+def count_json(document: Column, path: str) -> Column:
+    """COUNT of a value in a VARIANT: a missing one counts, a null doesn't."""
+    return F.count_if(~F.coalesce(F.is_variant_null(F.try_variant_get(document, path, "variant")), F.lit(False)))

@@ -50,7 +50,7 @@ def contributors(counts: DataFrame, *keys: str) -> DataFrame:
 
 
 def bucket_bursts(counts: DataFrame, level: DataFrame, floor: int = 1000, factor: float = 10, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """(bucket, kind, n, usual, who): buckets whose count reaches the floor and ``factor`` times the usual."""
+    """(bucket, kind, n, usual, who): each bucket whose count reaches the floor and ``factor`` times the usual."""
     counts = counts.filter(~F.col("bucket").isin(*excluded)) if excluded else counts
     sums = counts.groupBy("bucket", "kind").agg(F.sum("n").alias("n")).join(level, ["bucket", "kind"], "left")
     found = sums.withColumn("usual", F.coalesce("usual", F.lit(0))).filter((F.col("n") >= floor) & (F.col("n") > factor * F.col("usual")))
@@ -58,14 +58,14 @@ def bucket_bursts(counts: DataFrame, level: DataFrame, floor: int = 1000, factor
     return found.join(who, ["bucket", "kind"]).select("bucket", "kind", "n", "usual", F.transform("w", lambda x: x["access_key"]).alias("who"))
 
 
-def credential_bursts(counts: DataFrame, buckets: DataFrame, level: DataFrame, floor: int = 1000, factor: float = 10) -> DataFrame:
-    """(access_key, kind, n, n_buckets): credentials over at least two buckets that no bucket burst names yet."""
+def credential_bursts(counts: DataFrame, found: DataFrame, level: DataFrame, floor: int = 1000, factor: float = 10) -> DataFrame:
+    """(access_key, kind, n, n_named): credentials over at least two names of bucket that no burst in ``found`` names yet."""
     sums = counts.join(level, ["bucket", "kind"], "left").groupBy("access_key", "kind").agg(
-        F.sum("n").alias("n"), F.count_distinct("bucket").alias("n_buckets"), F.sum(F.coalesce("usual", F.lit(0))).alias("usual")
+        F.sum("n").alias("n"), F.count_distinct("bucket").alias("n_named"), F.sum(F.coalesce("usual", F.lit(0))).alias("usual")
     )
-    hot = sums.filter((F.col("n_buckets") >= 2) & (F.col("n") >= floor) & (F.col("n") > factor * F.col("usual")))
-    named = buckets.select("kind", F.explode("who").alias("access_key")).distinct()
-    return hot.join(named, ["kind", "access_key"], "left_anti").select("access_key", "kind", "n", "n_buckets")
+    hot = sums.filter((F.col("n_named") >= 2) & (F.col("n") >= floor) & (F.col("n") > factor * F.col("usual")))
+    named = found.select("kind", F.explode("who").alias("access_key")).distinct()
+    return hot.join(named, ["kind", "access_key"], "left_anti").select("access_key", "kind", "n", "n_named")
 
 
 def incidents(bursts: DataFrame, quiet: str = "15 minutes") -> DataFrame:
@@ -74,3 +74,35 @@ def incidents(bursts: DataFrame, quiet: str = "15 minutes") -> DataFrame:
     return bursts.groupBy(session.alias("s"), "bucket", "kind").agg(F.max("n").alias("peak"), F.count("*").alias("seen")).select(
         F.col("s.start").alias("opened"), F.col("s.end").alias("closes"), "bucket", "kind", "peak", "seen"
     )
+
+
+def stored(incidents: DataFrame, now: Column, keep_days: int = 90) -> DataFrame:
+    """Incidents (opened, closes, bucket, kind, peak, ...) as they are stored at ``now``: with closed, NULL while they are open.
+
+    Those that closed more than ``keep_days`` ago are gone, and those that open later aren't there yet.
+    """
+    closed = F.when(F.col("closes") <= now, F.col("closes"))
+    kept = closed.isNull() | (closed >= now - F.make_dt_interval(F.lit(keep_days)))
+    return incidents.withColumn("closed", closed).filter((F.col("opened") <= now) & kept)
+
+
+def recorded(stored: DataFrame, bursts: DataFrame, now: Column, quiet_minutes: int = 15, keep_days: int = 90) -> DataFrame:
+    """The store of incidents (bucket, kind, opened, last_seen, closed, peak) after the bursts (bucket, kind, n) of ``now``.
+
+    A burst goes on with the open incident of its bucket and kind, raising the peak, or opens one. Open ones that were not seen for
+    ``quiet_minutes`` close; those closed for over ``keep_days`` go.
+    """
+    keys = ["bucket", "kind"]
+    seen = bursts.groupBy(*keys).agg(F.max("n").alias("n"))
+    running = stored.filter("closed IS NULL").join(seen, keys, "full")
+    at = F.when(F.col("n").isNotNull(), now).otherwise(F.col("last_seen"))
+    running = running.select(*keys, F.coalesce("opened", now).alias("opened"), at.alias("last_seen"), "closed", F.greatest("peak", "n").alias("peak"))
+    quiet = running.withColumn("closed", F.when(F.col("last_seen") <= now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(quiet_minutes)), now))
+    old = stored.filter(F.col("closed") >= now - F.make_dt_interval(F.lit(keep_days)))
+    return quiet.unionByName(old.select(quiet.columns))
+
+
+def listed(stored: DataFrame, open_only: bool = False) -> DataFrame:
+    """Stored incidents, newest first."""
+    out = stored.filter("closed IS NULL") if open_only else stored
+    return out.orderBy(F.desc("opened"), "bucket", "kind")

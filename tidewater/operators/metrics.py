@@ -44,17 +44,26 @@ def last_hour(failures: DataFrame, by: str) -> DataFrame:
     return minutes.withColumn("last_hour", F.sum("n").over(at))
 
 
+def _decayed(samples: DataFrame, by: str, keep: float, *more: Column) -> DataFrame:
+    order = Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("seq"))
+    ranked = samples.withColumn("_back", F.row_number().over(order) - 1)
+    n = F.count("*").over(Window.partitionBy(by))
+    weight = F.pow(F.lit(keep), F.col("_back")) * F.when(F.col("_back") == n - 1, 1.0).otherwise(1 - keep)
+    return ranked.withColumn("_w", weight).groupBy(by).agg(F.sum(F.col("x") * F.col("_w")).alias("ewma"), F.count("*").alias("n"), F.max("x").alias("peak"), *more)
+
+
 def decaying(samples: DataFrame, by: str, keep: float = 0.9) -> DataFrame:
     """(by, ewma, n, peak): avg = keep * avg + (1 - keep) * x in order of time, beginning with the first x.
 
     The average is a weighted sum: sample i of n has the weight (1 - keep) * keep^(n - i), the first keep^(n - 1). So it
     comes from a rank and a sum, without a list of a key's samples.
     """
-    order = Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("seq"))
-    ranked = samples.withColumn("_back", F.row_number().over(order) - 1)
-    n = F.count("*").over(Window.partitionBy(by))
-    weight = F.pow(F.lit(keep), F.col("_back")) * F.when(F.col("_back") == n - 1, 1.0).otherwise(1 - keep)
-    return ranked.withColumn("_w", weight).groupBy(by).agg(F.sum(F.col("x") * F.col("_w")).alias("ewma"), F.count("*").alias("n"), F.max("x").alias("peak"))
+    return _decayed(samples, by, keep)
+
+
+def queue_stats(samples: DataFrame, by: str, keep: float = 0.9) -> DataFrame:
+    """(by, ewma, n, peak, mean) of a queue's samples (ts, seq, x): the decaying average beside the plain one."""
+    return _decayed(samples, by, keep, F.avg("x").alias("mean"))
 
 
 def merge_nodes(metrics: DataFrame) -> DataFrame:
@@ -71,6 +80,17 @@ def increase(series: DataFrame, by: str, seconds: int) -> DataFrame:
     return grown.withColumn("increase", F.sum("_step").over(at)).drop("_step")
 
 
+def over_time(series: DataFrame, by: str, seconds: int) -> DataFrame:
+    """series (ts, by, value) with what alert rules ask of the last ``seconds``: increase and rate (a second) of a counter, delta and max_over_time of a gauge.
+
+    delta is the value less the first of the window. All come from one sort of each key's samples.
+    """
+    clock = Window.partitionBy(by).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    at = Window.partitionBy(by).orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
+    grown = increase(series, by, seconds)
+    return grown.withColumns({"rate": F.col("increase") / seconds, "delta": F.col("value") - F.first("value").over(clock), "max_over_time": F.max("value").over(at)})
+
+
 def predict_linear(series: DataFrame, by: str, ahead: int) -> DataFrame:
     """(by, predicted): the least-squares line through (ts, value), ``ahead`` seconds after the last sample."""
     t = F.unix_seconds(F.col("ts").cast("timestamp")).cast("double")

@@ -102,26 +102,38 @@ def allowed(statements: list[Statement], owner: Column | None = None) -> Column:
 LEVELS = {"read": "s3:GetObject", "write": "s3:PutObject", "delete": "s3:DeleteObject", "manage": "s3:PutBucketPolicy"}
 
 
+FLAGS = ("d", "md", "a", "ma")
+
+
+def _flags(grants: DataFrame, holder: str) -> DataFrame:
+    """What a holder's grants of an action come to: a certain or possible deny, a certain or possible allow."""
+    deny, sure = F.col("effect") == "Deny", F.col("certain")
+    tests = (deny & sure, deny & ~sure, ~deny & sure, ~deny & ~sure)
+    return grants.groupBy(holder, "action").agg(*[F.bool_or(t).alias(n) for t, n in zip(tests, FLAGS, strict=True)])
+
+
+def _decision() -> Column:
+    return F.when(F.col("d"), "denied").when(F.col("a"), F.when(F.col("md"), "conditional").otherwise("allowed")).when(F.col("ma"), "conditional").otherwise("none").alias("decision")
+
+
 def decide(grants: DataFrame) -> DataFrame:
     """(principal, action, decision) from (principal, action, effect, certain).
 
     A certain deny is denied; an allow is allowed, or conditional if a deny may match; an allow that only may match is conditional; else none.
     """
-    deny, sure = F.col("effect") == "Deny", F.col("certain")
-    flags = grants.groupBy("principal", "action").agg(
-        F.bool_or(deny & sure).alias("d"), F.bool_or(deny & ~sure).alias("md"), F.bool_or(~deny & sure).alias("a"), F.bool_or(~deny & ~sure).alias("ma")
-    )
-    decision = F.when(F.col("d"), "denied").when(F.col("a"), F.when(F.col("md"), "conditional").otherwise("allowed")).when(F.col("ma"), "conditional").otherwise("none")
-    return flags.select("principal", "action", decision.alias("decision"))
+    return _flags(grants, "principal").select("principal", "action", _decision())
 
 
-def access_review(principals: DataFrame, memberships: DataFrame, grants: DataFrame) -> DataFrame:
-    """(principal, action, decision): a principal's own grants, its groups' and those to everyone.
+def access_review(principals: DataFrame, memberships: DataFrame, grants: DataFrame, salts: int = 64) -> DataFrame:
+    """(principal, action, decision): a principal's own grants, those it has as a member and those to everyone.
 
     principals (principal), memberships (principal, member_of), grants (holder, action, effect, certain); holder ``*`` is everyone.
+    Grants come down to a row for each holder and action first. What everyone has is dealt over ``salts`` keys.
     """
+    flags = _flags(grants, "holder")
     own = principals.select("principal", F.col("principal").alias("holder"))
-    groups = principals.join(memberships, "principal").select("principal", F.col("member_of").alias("holder"))
-    everyone = principals.select("principal", F.lit("*").alias("holder"))
-    held = own.unionByName(groups).unionByName(everyone).distinct().join(grants, "holder")
-    return decide(held)
+    as_member = principals.join(memberships, "principal").select("principal", F.col("member_of").alias("holder"))
+    held = own.unionByName(as_member).distinct().join(flags.filter("holder <> '*'"), "holder").drop("holder")
+    star = flags.filter("holder = '*'").drop("holder").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    everyone = principals.distinct().withColumn("salt", F.pmod(F.hash("principal"), F.lit(salts))).join(star, "salt").drop("salt")
+    return held.unionByName(everyone.select(held.columns)).groupBy("principal", "action").agg(*[F.bool_or(f).alias(f) for f in FLAGS]).select("principal", "action", _decision())

@@ -1,7 +1,10 @@
-"""Usage of buckets: histograms, totals, tiers, compliance counts, daily history, team reports, cost."""
+"""Usage of each bucket: histograms, totals, tiers, compliance counts, daily history, team reports, cost."""
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ VERSION_BINS = [
     ("BETWEEN_1000_AND_10000", 1000, 10000),
     ("GREATER_THAN_10000", 10000, None),
 ]
-#: Beginnings of API names that count as writes.
+# Beginnings of API names that count as writes.
 WRITES = ("put", "post", "copy", "new", "complete", "abort", "reset")
 
 
@@ -59,8 +62,8 @@ def bucket_usage(versions: DataFrame) -> DataFrame:
 
 
 def total_usage(usage: DataFrame) -> DataFrame:
-    """One row over all buckets of ``bucket_usage``."""
-    return usage.agg(F.count("*").alias("buckets"), *[F.sum(c).alias(c) for c in ("objects", "versions", "delete_markers", "size")])
+    """One row over all rows of ``bucket_usage``."""
+    return usage.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("objects", "versions", "delete_markers", "size")])
 
 
 def tier_usage(versions: DataFrame, tiers: list[str]) -> DataFrame:
@@ -121,6 +124,7 @@ def storage_by_day(storage: DataFrame, first: str, last: str, look_back: int = 3
     the period on; a bucket that is absent from that record is absent. Days with a record of their own add avg, carried ones
     last. Returns (day, bucket, bytes, carried, peak).
     """
+    period(first, last)
     spine = storage.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
     seen = storage.filter(F.col("day").between(F.date_sub(F.lit(first).cast("date"), look_back), F.lit(last).cast("date")))
     days = seen.select("day").distinct().withColumn("source", F.col("day"))
@@ -140,18 +144,31 @@ def gb_months(by_day: DataFrame) -> DataFrame:
     return by_day.groupBy("bucket").agg(F.sum(share).alias("gb_months"), F.max("peak").alias("peak"))
 
 
-def with_team(buckets: DataFrame, teams: DataFrame) -> DataFrame:
-    """``buckets`` with team and named_by_two: the first team (by name) that names the bucket, else the longest prefix.
+def with_team(names: DataFrame, teams: DataFrame) -> DataFrame:
+    """``names`` (bucket, ...) with team and named_by_two: the first team (by name) that names the bucket, else the longest prefix.
+
+    teams: (name, members array, prefixes array). Prefixes are met by equality: a bucket that no team names is cut to each length that a
+    prefix has, and the cuts are joined with the prefixes. A table of teams has few lengths, as names have at most 63 characters.
+    """
+    exact = teams.select(F.explode("members").alias("bucket"), "name").groupBy("bucket").agg(F.min("name").alias("exact"), (F.count("*") > 1).alias("named_by_two"))
+    named = names.join(exact, "bucket", "left")
+    prefixes = teams.select(F.explode("prefixes").alias("prefix"), "name").groupBy("prefix").agg(F.min("name").alias("by_prefix"))
+    lengths = sorted(r[0] for r in prefixes.select(F.length("prefix")).distinct().collect())
+    cuts = F.array(*[F.substring("bucket", 1, n) for n in lengths]).cast("array<string>")
+    cut = named.filter("exact IS NULL").select("bucket").distinct().select("bucket", F.explode(F.array_distinct(cuts)).alias("prefix"))
+    best = cut.join(prefixes, "prefix").groupBy("bucket").agg(F.max_by("by_prefix", F.length("prefix")).alias("by_prefix"))
+    return named.join(best, "bucket", "left").select(*names.columns, F.coalesce("exact", "by_prefix").alias("team"), F.coalesce("named_by_two", F.lit(False)).alias("named_by_two"))
+
+
+def compliance_report(config: DataFrame, counts: DataFrame, lifecycle: DataFrame) -> DataFrame:
+    """Each bucket's versioning, lock and encryption state beside its ``compliance_counts``; those are NULL for a bucket not counted yet.
 
-    teams: (name, buckets array, prefixes array). The theta join on prefixes is against the teams, which are broadcast
-    only as a table of configuration; buckets that are named exactly do not take part in it.
+    config: (bucket, versioning, locked, encryption); lifecycle: (bucket, enabled, expires) by rule. lifecycle_expires tells whether
+    an enabled rule expires something.
     """
-    exact = teams.select(F.explode("buckets").alias("bucket"), "name").groupBy("bucket").agg(F.min("name").alias("exact"), (F.count("*") > 1).alias("named_by_two"))
-    named = buckets.join(exact, "bucket", "left")
-    prefixes = teams.select(F.explode("prefixes").alias("prefix"), F.col("name").alias("by_prefix"))
-    open_ones = named.filter("exact IS NULL").select("bucket").distinct().join(prefixes, F.col("bucket").startswith(F.col("prefix")))
-    best = open_ones.groupBy("bucket").agg(F.min_by("by_prefix", F.struct(-F.length("prefix"), F.col("by_prefix"))).alias("by_prefix"))
-    return named.join(best, "bucket", "left").select(*buckets.columns, F.coalesce("exact", "by_prefix").alias("team"), F.coalesce("named_by_two", F.lit(False)).alias("named_by_two"))
+    expiring = lifecycle.groupBy("bucket").agg(F.bool_or(F.col("enabled") & F.col("expires")).alias("lifecycle_expires"))
+    state = config.select("bucket", F.coalesce("versioning", F.lit("Off")).alias("versioning"), F.coalesce("locked", F.lit(False)).alias("locked"), F.coalesce("encryption", F.lit("none")).alias("encryption"))
+    return state.join(expiring, "bucket", "left").join(counts, "bucket", "left").withColumn("lifecycle_expires", F.coalesce("lifecycle_expires", F.lit(False)))
 
 
 def usage_report(by_bucket_day: DataFrame, traffic: DataFrame) -> DataFrame:
@@ -175,7 +192,37 @@ def quota_exceeded(used: Column, size: Column, limit: Column) -> Column:
 
 
 def kept_segments(segments: DataFrame, today: str, max_age: int, max_bytes: int) -> DataFrame:
-    """Segments (day, bytes) that stay: young enough, and the newest until their bytes reach the limit."""
+    """Segments (day, bytes) that stay, with the running bytes: young enough, and whole days from the newest on until the bytes reach the limit.
+
+    Only the days' sums, ``max_age`` + 1 at most, are put in one order.
+    """
     newest = Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
-    young = segments.filter(F.datediff(F.lit(today).cast("date"), "day") <= max_age)
-    return young.withColumn("running", F.sum("bytes").over(newest)).filter(F.col("running") <= max_bytes)
+    young = segments.filter(F.datediff(F.lit(today).cast("date"), "day").between(0, max_age))
+    days = young.groupBy("day").agg(F.sum("bytes").alias("running")).withColumn("running", F.sum("running").over(newest))
+    return young.join(days.filter(F.col("running") <= max_bytes), "day")
+
+
+DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def parse_day(text: Column) -> Column:
+    """A day as YYYY-MM-DD; NULL if it is no day."""
+    return F.when(text.rlike(DAY), text.try_cast("date"))
+
+
+def period(first: str, last: str, most: int = 400) -> tuple[dt.date, dt.date]:
+    """The days of a period, or an error: both must be days, and there are from 1 to ``most``."""
+    try:
+        if not (re.match(DAY, first) and re.match(DAY, last)):
+            raise ValueError
+        a, b = dt.date.fromisoformat(first), dt.date.fromisoformat(last)
+    except ValueError:
+        raise ValueError("from and to are days, as YYYY-MM-DD") from None
+    if not 0 <= (b - a).days < most:
+        raise ValueError(f"the period is from 1 to {most} days, from before to")
+    return a, b
+
+
+def retained_since(today: Column, keep: int) -> Column:
+    """The first day that ``keep`` days of history hold."""
+    return F.date_sub(today, keep - 1)

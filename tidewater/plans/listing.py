@@ -71,27 +71,36 @@ def _(spark, d):
     return ordered.filter(c("is_latest") & ~c("delete_marker")).select("bucket", "key", "version_id", "size")
 
 
-@query("list_buckets", "SELECT DISTINCT event_type AS bucket FROM events WHERE event_type IN ('click', 'view', 'none')")
+@query("list_versions_marker", f"""SELECT key, version_id, mod_time FROM ({VERSIONS}) v WHERE key > 'k10' OR (key = 'k10' AND (mod_time, version_id) < (SELECT (mod_time, version_id) FROM ({VERSIONS}) WHERE key = 'k10'
+ ORDER BY mod_time DESC, version_id DESC LIMIT 1 OFFSET 1)) ORDER BY key, mod_time DESC, version_id DESC LIMIT 100""")
 def _(spark, d):
-    allowed = spark.createDataFrame([("click",), ("view",), ("none",)], "bucket string")
-    return versions(spark, d).select("bucket").distinct().join(allowed, "bucket", "left_semi").orderBy("bucket")
+    v = versions(spark, d)
+    second = v.filter("key = 'k10'").orderBy(F.desc("mod_time"), F.desc("version_id")).limit(2).collect()[1]["version_id"]
+    return L.list_versions(v, "k10", second, 100).select("key", "version_id", "mod_time")
+
+
+@query("list_bucket", "SELECT DISTINCT event_type AS bucket FROM events WHERE event_type IN ('click', 'view', 'none')")
+def _(spark, d):
+    return L.list_bucket(versions(spark, d), spark.createDataFrame([("click",), ("view",), ("none",)], "bucket string"))
 
 
-@query("list_with_metadata", "SELECT doc_id, lang AS meta_lang, source AS meta_source FROM documents WHERE lang <> 'en'")
+@query("list_with_metadata", "SELECT doc_id, lang AS meta_lang, CAST(2 AS BIGINT) AS n_meta, source AS tag_source, '12+4' AS ec FROM documents")
 def _(spark, d):
-    meta = F.map_filter(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("x-internal"), F.lit("1")), lambda k, v: ~k.startswith("x-internal"))
-    return table(spark, d, "documents").select("doc_id", meta.alias("m")).filter(c("m")["lang"] != "en").select("doc_id", c("m")["lang"].alias("meta_lang"), c("m")["source"].alias("meta_source"))
+    pairs = [("lang", c("lang")), ("size", c("n_chars").cast("string")), ("x-internal-etag", F.lit("1")), ("x-tagging", F.concat(F.lit("a=b%20c&source="), "source"))]
+    objects = table(spark, d, "documents").select("doc_id", F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]).alias("metadata"), F.lit(12).alias("data_blocks"), F.lit(4).alias("parity_blocks"))
+    return L.with_metadata(objects).select("doc_id", c("metadata")["lang"].alias("meta_lang"), F.size("metadata").cast("bigint").alias("n_meta"), c("tags")["source"].alias("tag_source"), "ec")
 
 
-@query("list_uploads", f"SELECT key, version_id, mod_time FROM ({VERSIONS}) WHERE bucket = 'click' ORDER BY mod_time, version_id LIMIT 1000")
+@query("list_uploads", f"SELECT key, version_id AS upload_id, mod_time AS initiated FROM ({VERSIONS}) WHERE key LIKE 'k1%' AND (key > 'k15' OR (key = 'k15' AND version_id > 100)) ORDER BY mod_time, version_id LIMIT 1000")
 def _(spark, d):
-    return versions(spark, d).filter("bucket = 'click'").orderBy("mod_time", "version_id").limit(1000).select("key", "version_id", "mod_time")
+    uploads = versions(spark, d).select("key", c("version_id").alias("upload_id"), c("mod_time").alias("initiated"))
+    return L.list_uploads(uploads, "k1", "k15", 100, 1000)
 
 
-@query("list_parts", "SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem WHERE l_orderkey < 100 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity LIMIT 10000")
+@query("list_parts", "SELECT CAST(l_partkey AS BIGINT) AS part_number, l_quantity AS size FROM lineitem WHERE l_suppkey = 3 AND l_partkey > 5 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber DESC) = 1 ORDER BY 1 LIMIT 10000")
 def _(spark, d):
-    names = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
-    return table(spark, d, "lineitem").filter("l_orderkey < 100").select(*names).orderBy(*names).limit(10000)
+    parts = table(spark, d, "lineitem").select(c("l_suppkey").alias("upload_id"), c("l_partkey").cast("bigint").alias("part_number"), c("l_quantity").alias("size"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("mod_time"))
+    return L.list_parts(parts, 3, 5).select("part_number", "size")
 
 
 @query("merge_pools", f"SELECT bucket, key, version_id, mod_time, size, delete_marker FROM ({VERSIONS}) QUALIFY row_number() OVER (PARTITION BY key ORDER BY mod_time DESC, version_id DESC) = 1")

@@ -90,8 +90,8 @@ def _(spark, d):
 
 @query(
     "join_cred_not_named",
-    f"""SELECT access_key, kind, n, n_buckets FROM (SELECT r.access_key, r.kind, CAST(sum(r.n) AS BIGINT) AS n, count(DISTINCT r.bucket) AS n_buckets, sum(coalesce(usual, 0)) AS usual
- FROM ({_RECENT}) r LEFT JOIN ({_USUAL}) u ON r.bucket = u.bucket AND r.kind = u.kind GROUP BY 1, 2) x WHERE n_buckets >= 2 AND n >= 50 AND n > 0.1 * usual
+    f"""SELECT access_key, kind, n, n_named FROM (SELECT r.access_key, r.kind, CAST(sum(r.n) AS BIGINT) AS n, count(DISTINCT r.bucket) AS n_named, sum(coalesce(usual, 0)) AS usual
+ FROM ({_RECENT}) r LEFT JOIN ({_USUAL}) u ON r.bucket = u.bucket AND r.kind = u.kind GROUP BY 1, 2) x WHERE n_named >= 2 AND n >= 50 AND n > 0.1 * usual
  AND NOT EXISTS (SELECT 1 FROM ({_BURSTS}) b WHERE b.kind = x.kind AND list_contains(b.who, x.access_key))""",
 )
 def _(spark, d):
@@ -101,21 +101,30 @@ def _(spark, d):
 _SEEN = f"SELECT date_trunc('minute', ts) AS ts, bucket, kind, CAST(sum(n) AS BIGINT) AS n FROM ({_COUNTERS}) GROUP BY ALL"
 
 
-@query(
-    "st_incident_session",
-    f"""SELECT min(ts) AS opened, max(ts) + INTERVAL 15 MINUTE AS closes, bucket, kind, max(n) AS peak, count(*) AS seen FROM (
+_INCIDENTS = f"""SELECT min(ts) AS opened, max(ts) + INTERVAL 15 MINUTE AS closes, bucket, kind, max(n) AS peak, count(*) AS seen FROM (
  SELECT *, sum(cut) OVER (PARTITION BY bucket, kind ORDER BY ts) AS run FROM (
-  SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY bucket, kind ORDER BY ts) + INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS cut FROM ({_SEEN}))) GROUP BY bucket, kind, run""",
-)
-def _(spark, d):
+  SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY bucket, kind ORDER BY ts) + INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS cut FROM ({_SEEN}))) GROUP BY bucket, kind, run"""
+
+
+def _incidents(spark, d):
     seen = _counters(spark, d).groupBy(F.date_trunc("minute", "ts").alias("ts"), "bucket", "kind").agg(F.sum("n").alias("n"))
     return B.incidents(seen).withColumns({x: c(x).cast("timestamp_ntz") for x in ("opened", "closes")})
 
 
-@query("rpt_incidents", f"SELECT ts, bucket, kind, n FROM ({_SEEN}) WHERE n > 20 ORDER BY ts DESC, bucket, kind LIMIT 50")
+@query("st_incident_session", _INCIDENTS)
+def _(spark, d):
+    return _incidents(spark, d)
+
+
+@query(
+    "rpt_incidents",
+    f"""SELECT bucket, kind, opened, peak, CASE WHEN closes <= TIMESTAMP '2024-01-16 12:00:00' THEN closes END AS closed FROM ({_INCIDENTS}) WHERE opened <= TIMESTAMP '2024-01-16 12:00:00'
+ AND (closes > TIMESTAMP '2024-01-16 12:00:00' OR closes >= TIMESTAMP '2024-01-16 12:00:00' - INTERVAL 5 DAY)""",
+)
 def _(spark, d):
-    seen = _counters(spark, d).groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), "bucket", "kind").agg(F.sum("n").alias("n"))
-    return seen.filter("n > 20").orderBy(F.desc("ts"), "bucket", "kind").limit(50)
+    stored = B.stored(_incidents(spark, d), _stamp("2024-01-16 12:00:00"), keep_days=5)
+    both = B.listed(stored).unionByName(B.listed(stored, open_only=True)).distinct()
+    return both.select("bucket", "kind", "opened", "peak", "closed")
 
 
 # --- audit -----------------------------------------------------------------------------------------------------------
@@ -213,9 +222,14 @@ def _(spark, d):
     return M.decaying(samples, "user_id").withColumn("ewma", F.round("ewma", 6))
 
 
-@query("agg_queue_stats", "SELECT event_type, count(*) AS n, max(value) AS peak, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query(
+    "agg_queue_stats",
+    """SELECT user_id, count(*) AS n, max(value) AS peak, round(avg(value), 6) AS mean, round(sum(value * pow(0.9, back) * CASE WHEN back = n - 1 THEN 1.0 ELSE 0.1 END), 6) AS ewma
+ FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS back, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY 1""",
+)
 def _(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("peak"), F.round(F.avg("value"), 6).alias("mean"))
+    samples = table(spark, d, "events").select("user_id", "ts", c("event_id").alias("seq"), c("value").alias("x"))
+    return M.queue_stats(samples, "user_id").select("user_id", "n", "peak", F.round("mean", 6).alias("mean"), F.round("ewma", 6).alias("ewma"))
 
 
 @query("agg_rt_merge", "SELECT event_type AS metric, user_id % 4 AS host, count(*) AS n, max(value) AS peak, max(ts) AS at FROM events GROUP BY ROLLUP (event_type, user_id % 4) HAVING event_type IS NOT NULL")
@@ -226,11 +240,14 @@ def _(spark, d):
 
 @query(
     "win_promql",
-    """SELECT event_id, CAST(sum(step) OVER (PARTITION BY event_type ORDER BY CAST(epoch(date_trunc('second', ts)) AS BIGINT) RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW) AS BIGINT) AS increase
- FROM (SELECT *, CASE WHEN user_id < lag(user_id) OVER w THEN user_id ELSE coalesce(user_id - lag(user_id) OVER w, 0) END AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts))""",
+    """SELECT event_id, CAST(sum(step) OVER r AS BIGINT) AS increase, round(sum(step) OVER r / 21600, 9) AS rate, user_id - first_value(user_id) OVER s AS delta, max(user_id) OVER r AS most
+ FROM (SELECT *, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS e, CASE WHEN user_id < lag(user_id) OVER w THEN user_id ELSE coalesce(user_id - lag(user_id) OVER w, 0) END AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts))
+ WINDOW r AS (PARTITION BY event_type ORDER BY e RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW), s AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 21600 SECOND PRECEDING AND CURRENT ROW)""",
 )
 def _(spark, d):
-    return M.increase(table(spark, d, "events").select("event_id", "ts", "event_type", c("user_id").alias("value")), "event_type", 21600).select("event_id", "increase")
+    series = table(spark, d, "events").select("event_id", "ts", "event_type", c("user_id").alias("value"))
+    out = M.over_time(series, "event_type", 21600)
+    return out.select("event_id", "increase", F.round("rate", 9).alias("rate"), "delta", c("max_over_time").alias("most"))
 
 
 @query("win_predict_linear", "SELECT event_type, round(regr_intercept(value, t) + regr_slope(value, t) * (max(t) + 604800), 4) AS predicted FROM (SELECT *, e - min(e) OVER (PARTITION BY event_type) AS t FROM (SELECT *, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS e FROM events)) GROUP BY 1")
@@ -244,10 +261,10 @@ def _(spark, d):
 def _policy_requests(spark, d):
     i = c("event_id")
     context = F.map_from_arrays(
-        F.array(F.lit("SourceIp"), F.lit("prefix"), F.lit("max-keys"), F.lit("SecureTransport"), F.lit("CurrentTime"), F.lit("Empty")),
+        F.array(F.lit("SourceIp"), F.lit("prefix"), F.lit("max-keys"), F.lit("SecureTransport"), F.lit("CurrentTime"), F.lit("Empty"), F.lit("Sometimes")),
         F.array(
             F.array(F.concat(F.lit("10.0."), (c("user_id") % 4).cast("string"), F.lit(".7"))), F.array(F.concat(F.lit("p"), (i % 3).cast("string")), F.lit("zz")), F.array((i % 100).cast("string")),
-            F.array((i % 2 == 0).cast("string")), F.array(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), F.array().cast("array<string>"),
+            F.array((i % 2 == 0).cast("string")), F.array(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), F.array().cast("array<string>"), F.when(i % 4 == 0, F.array(F.lit("x"))),
         ),
     )
     action = F.when(i % 3 == 0, "s3:GetObject").when(i % 3 == 1, "s3:PutObject").otherwise("s3:DeleteObject")
@@ -261,11 +278,11 @@ def _conditions(*tests):
 query("cond_string", "SELECT event_id, event_id % 3 = 1 AS t0, event_id % 3 <> 1 AS t1, event_id % 3 = 2 AS t2, false AS t3, true AS t4 FROM events")(
     _conditions(("StringEquals", "s3:prefix", ("p1", "q")), ("StringNotEquals", "s3:prefix", ("p1",)), ("StringEqualsIgnoreCase", "s3:prefix", ("P2",)), ("ForAllValues:StringEquals", "s3:prefix", ("p1",)), ("ForAllValues:StringEquals", "aws:Empty", ("p1",)))
 )
-query("cond_like", "SELECT event_id, true AS t0, event_id % 3 = 2 AS t1, false AS t2, true AS t3 FROM events")(
-    _conditions(("StringLike", "s3:prefix", ("p*",)), ("StringLike", "s3:prefix", ("?2",)), ("StringNotLike", "s3:prefix", ("z?",)), ("ForAllValues:StringLike", "s3:prefix", ("p?", "z*")))
+query("cond_like", "SELECT event_id, user_id % 4 IN (1, 2) AS t0, event_id % 3 = 2 AS t1, event_id % 3 <> 1 AS t2, event_id % 3 < 2 AS t3 FROM events")(
+    _conditions(("StringLike", "aws:SourceIp", ("10.0.1.*", "*.2.7")), ("StringLike", "s3:prefix", ("?2",)), ("StringNotLike", "s3:prefix", ("?1",)), ("ForAllValues:StringLike", "s3:prefix", ("p0", "*1", "z*")))
 )
-query("cond_null", "SELECT event_id, true AS t0, false AS t1, false AS t2, event_id % 2 = 0 AS t3 FROM events")(
-    _conditions(("Null", "aws:Nope", ("true",)), ("Null", "aws:Empty", ("false",)), ("Bool", "aws:Nope", ("true",)), ("Bool", "aws:SecureTransport", ("true",)))
+query("cond_null", "SELECT event_id, event_id % 4 <> 0 AS t0, event_id % 4 = 0 AS t1, false AS t2, event_id % 2 = 0 AS t3, event_id % 2 = 1 AS t4 FROM events")(
+    _conditions(("Null", "aws:Sometimes", ("true",)), ("Null", "aws:Sometimes", ("false",)), ("Bool", "aws:Nope", ("true",)), ("Bool", "aws:SecureTransport", ("true",)), ("Bool", "aws:SecureTransport", ("false",)))
 )
 query("cond_numeric", "SELECT event_id, event_id % 100 = 7 AS t0, event_id % 100 <= 50 AS t1, event_id % 100 > 90 AS t2, true AS t3, false AS t4 FROM events")(
     _conditions(("NumericEquals", "s3:max-keys", (7,)), ("NumericLessThanEquals", "s3:max-keys", (50,)), ("NumericGreaterThan", "s3:max-keys", (90,)), ("NumericGreaterThanIfExists", "s3:nope", (1,)), ("NumericEquals", "s3:prefix", (1,)))
@@ -297,7 +314,7 @@ def _(spark, d):
     return _policy_requests(spark, d).select("event_id", P.allowed(STATEMENTS, c("principal") == "user0").alias("allowed"))
 
 
-_GRANTS = """SELECT concat('user', user_id % 20) AS holder, event_type AS action, CASE WHEN event_id % 37 = 0 THEN 'Deny' ELSE 'Allow' END AS effect, event_id % 5 <> 0 AS certain FROM events WHERE user_id % 20 < 12
+_GRANTS = """SELECT concat('user', user_id % 20) AS holder, event_type AS action, CASE WHEN event_id % 37 = 0 THEN 'Deny' ELSE 'Allow' END AS effect, event_id % 5 <> 0 AS certain FROM events
  UNION ALL SELECT 'grp1', 'view', 'Deny', true UNION ALL SELECT '*', 'click', 'Allow', true"""
 _DECIDE = """CASE WHEN bool_or(effect = 'Deny' AND certain) THEN 'denied' WHEN bool_or(effect = 'Allow' AND certain) THEN CASE WHEN bool_or(effect = 'Deny' AND NOT certain) THEN 'conditional' ELSE 'allowed' END
  WHEN bool_or(effect = 'Allow' AND NOT certain) THEN 'conditional' ELSE 'none' END"""
@@ -305,7 +322,7 @@ _DECIDE = """CASE WHEN bool_or(effect = 'Deny' AND certain) THEN 'denied' WHEN b
 
 def _grants(spark, d):
     i, u = c("event_id"), c("user_id") % 20
-    own = table(spark, d, "events").filter(u < 12).select(F.concat(F.lit("user"), u.cast("string")).alias("holder"), c("event_type").alias("action"), F.when(i % 37 == 0, "Deny").otherwise("Allow").alias("effect"), (i % 5 != 0).alias("certain"))
+    own = table(spark, d, "events").select(F.concat(F.lit("user"), u.cast("string")).alias("holder"), c("event_type").alias("action"), F.when(i % 37 == 0, "Deny").otherwise("Allow").alias("effect"), (i % 5 != 0).alias("certain"))
     more = spark.createDataFrame([("grp1", "view", "Deny", True), ("*", "click", "Allow", True)], "holder string, action string, effect string, certain boolean")
     return own.unionByName(more)
 

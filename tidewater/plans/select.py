@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import select as S
 from tidewater.plans.registry import query
 from tidewater.session import table
+from tidewater.sources import sinks
 
 c = F.col
 
@@ -128,10 +129,17 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", (-c("c_acctbal")).alias("x"))
 
 
-@query("array_cmp", "SELECT vec_id, embedding = embedding AS same, embedding[1] IS DISTINCT FROM embedding[2] AS differ FROM embeddings")
+@query(
+    "array_cmp",
+    """SELECT l_orderkey, l_linenumber, [l_linenumber % 2, CAST(l_quantity AS INTEGER) % 3] = [1, 2] AS same, l_linenumber % 2 <> 1 OR CAST(l_quantity AS INTEGER) % 3 <> 2 AS differ,
+ l_linenumber % 2 <> 1 AS differ_short, false AS same_short FROM lineitem""",
+)
 def _(spark, d):
-    e = c("embedding")
-    return table(spark, d, "embeddings").select("vec_id", S.array_eq(e, e).alias("same"), S.array_ne(F.slice(e, 1, 1), F.slice(e, 2, 3)).alias("differ"))
+    x = F.array(c("l_linenumber") % 2, c("l_quantity").cast("int") % 3)
+    two, one = F.array(F.lit(1), F.lit(2)), F.array(F.lit(1))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", S.array_eq(x, two).alias("same"), S.array_ne(x, two).alias("differ"), S.array_ne(x, one).alias("differ_short"), S.array_eq(x, one).alias("same_short")
+    )
 
 
 @query("list_lit", "SELECT n_nationkey, [n_nationkey, n_regionkey] AS pair FROM nation")
@@ -203,14 +211,25 @@ def _texts(spark, d):
     return table(spark, d, "events").select("event_id", text.alias("t"))
 
 
-@query("fn_cast_int", f"SELECT event_id, CAST(trunc(try_cast(t AS DOUBLE)) AS BIGINT) AS x FROM ({_TEXTS} WHERE event_id % 5 < 4) t")
+_NUMBERS = """SELECT event_id, CASE event_id % 8 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN concat('-', event_id, '.75') WHEN 2 THEN '1e3' WHEN 3 THEN '1d' WHEN 4 THEN 'True' WHEN 5 THEN '1e30'
+ WHEN 6 THEN concat('0x', event_id % 10, '.8p3') END AS t, event_id % 8 AS m, 8 * (event_id % 10) + 4 AS hex FROM events"""
+
+
+def _numbers(spark, d):
+    n, s = c("event_id") % 8, c("event_id").cast("string")
+    text = F.when(n == 0, s).when(n == 1, F.concat(F.lit("-"), s, F.lit(".75"))).when(n == 2, "1e3").when(n == 3, "1d").when(n == 4, "True").when(n == 5, "1e30")
+    text = text.when(n == 6, F.concat(F.lit("0x"), (c("event_id") % 10).cast("string"), F.lit(".8p3")))
+    return table(spark, d, "events").select("event_id", text.alias("t"))
+
+
+@query("fn_cast_int", f"SELECT event_id, CASE m WHEN 5 THEN CAST(-9223372036854775808 AS BIGINT) WHEN 6 THEN CAST(hex AS BIGINT) ELSE CAST(trunc(try_cast(t AS DOUBLE)) AS BIGINT) END AS x FROM ({_NUMBERS}) t")
 def _(spark, d):
-    return _texts(spark, d).filter("event_id % 5 < 4").select("event_id", S.cast_int(c("t")).alias("x"))
+    return _numbers(spark, d).select("event_id", S.cast_int(c("t")).alias("x"))
 
 
-@query("fn_cast_float", f"SELECT event_id, try_cast(t AS DOUBLE) AS x FROM ({_TEXTS}) t")
+@query("fn_cast_float", f"SELECT event_id, CASE m WHEN 6 THEN CAST(hex AS DOUBLE) ELSE try_cast(t AS DOUBLE) END AS x FROM ({_NUMBERS}) t")
 def _(spark, d):
-    return _texts(spark, d).select("event_id", S.cast_float(c("t")).alias("x"))
+    return _numbers(spark, d).select("event_id", S.cast_float(c("t")).alias("x"))
 
 
 @query("fn_cast_bool", f"SELECT event_id, CASE lower(t) WHEN 'true' THEN true WHEN 'false' THEN false END AS x FROM ({_TEXTS}) t")
@@ -218,9 +237,16 @@ def _(spark, d):
     return _texts(spark, d).select("event_id", S.cast_bool(c("t")).alias("x"))
 
 
-@query("fn_cast_string", "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS x FROM customer")
+@query(
+    "fn_cast_string",
+    f"""SELECT c_custkey, coalesce(CAST(k AS VARCHAR), 'NULL') AS i, CASE c_custkey % 3 WHEN 0 THEN '2.5' WHEN 1 THEN '1e+07' ELSE '5e-05' END AS f, CAST(c_custkey % 2 = 0 AS VARCHAR) AS b,
+ CASE WHEN c_custkey % 2 = 0 THEN '2024-03T' ELSE '2024-03-01T07:00Z' END AS t FROM ({_NULLED})""",
+)
 def _(spark, d):
-    return table(spark, d, "customer").select("c_custkey", c("c_custkey").cast("string").alias("x"))
+    n = c("c_custkey")
+    f = F.when(n % 3 == 0, 2.5).when(n % 3 == 1, 1e7).otherwise(0.00005)
+    t = F.when(n % 2 == 0, F.lit("2024-03-01 00:00:00")).otherwise("2024-03-01 07:00:00").cast("timestamp")
+    return _nulled(spark, d).select("c_custkey", S.cast_string(c("k"), "int").alias("i"), S.cast_string(f, "float").alias("f"), S.cast_string(n % 2 == 0, "bool").alias("b"), S.cast_string(t, "timestamp").alias("t"))
 
 
 _STAMPS = """CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%YT') WHEN 1 THEN strftime(o_orderdate, '%Y-%mT')
@@ -285,11 +311,15 @@ def _(spark, d):
 
 @query(
     "fn_extract",
-    "SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM events",
+    """SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s,
+ CASE event_id % 3 WHEN 0 THEN 5 WHEN 1 THEN -3 ELSE 0 END AS tz_h, CASE event_id % 3 WHEN 0 THEN 45 WHEN 1 THEN -30 ELSE 0 END AS tz_m FROM events""",
 )
 def _(spark, d):
     t, long = c("ts"), lambda x: x.cast("bigint")
-    return table(spark, d, "events").select("event_id", *[long(f(t)).alias(n) for f, n in ((F.year, "y"), (F.month, "mo"), (F.dayofmonth, "d"), (F.hour, "h"), (F.minute, "mi"), (F.second, "s"))])
+    n = c("event_id") % 3
+    text = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(n == 0, "+05:45").when(n == 1, "-03:30").otherwise("Z"))
+    zone = [S.timezone_part(text, p).alias(a) for p, a in (("TIMEZONE_HOUR", "tz_h"), ("TIMEZONE_MINUTE", "tz_m"))]
+    return table(spark, d, "events").select("event_id", *[long(f(t)).alias(n) for f, n in ((F.year, "y"), (F.month, "mo"), (F.dayofmonth, "d"), (F.hour, "h"), (F.minute, "mi"), (F.second, "s"))], *zone)
 
 
 @query(
@@ -314,9 +344,15 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", *[S.date_diff(p, a, b).alias(n) for p, n in (("DAY", "d"), ("HOUR", "h"), ("MONTH", "mo"), ("YEAR", "y"))])
 
 
-@query("fn_to_string", "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS x FROM orders")
+@query(
+    "fn_to_string",
+    """SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M') AS a, concat(strftime(ts, '%y-'), month(ts), '-', day(ts), ' ', (hour(ts) + 11) % 12 + 1, ' ', CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END) AS b,
+ concat(strftime(ts, '%B %b '), left(strftime(ts, '%B'), 1), ' o''clock ', lpad(CAST(hour(ts) AS VARCHAR), 3, '0'), 'Z+00:00') AS e, strftime(ts, '%S.%f000') AS f FROM events""",
+)
 def _(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy/MM/dd HH:mm").alias("x"))
+    t = c("ts")
+    patterns = {"a": "yyyy/MM/dd HH:mm", "b": "yy-M-d h a", "e": "MMMM MMM MMMMM 'o''clock' HHHXxxx", "f": "ss.SSSSSSSSS"}
+    return table(spark, d, "events").select("event_id", *[S.to_string(t, x).alias(n) for n, x in patterns.items()])
 
 
 # --- aggregates ----------------------------------------------------------------------------------------------------
@@ -327,9 +363,13 @@ def _(spark, d):
     return table(spark, d, "lineitem").agg(F.count("*").alias("n"))
 
 
-@query("agg_count", f"SELECT count(k) AS n FROM ({_NULLED})")
+@query("agg_count", f"SELECT count(k) AS n, (SELECT count(*) FROM events WHERE event_id % 3 <> 0) AS in_json, (SELECT count(*) FROM customer) AS in_csv FROM ({_NULLED})")
 def _(spark, d):
-    return _nulled(spark, d).agg(F.count("k").alias("n"))
+    n = c("event_id") % 3
+    documents = table(spark, d, "events").select(F.parse_json(F.when(n == 0, '{"k": null}').when(n == 1, '{"k": 5}').otherwise("{}")).alias("v"))
+    columns = [_nulled(spark, d).agg(F.count("k").alias("n")), documents.agg(S.count_json(c("v"), "$.k").alias("in_json")), _nulled(spark, d).agg(S.count_csv(c("k")).alias("in_csv"))]
+    parts = [x.select(F.lit(0).alias("one"), "*") for x in columns]
+    return parts[0].join(parts[1], "one").join(parts[2], "one").drop("one")
 
 
 @query("agg_sum", "SELECT coalesce(round(sum(CAST(l_quantity AS DOUBLE)), 2), 0) AS s FROM lineitem")
@@ -369,15 +409,19 @@ def _(spark, d):
     return table(spark, d, "region").select("r_regionkey", F.lit(1.5).cast("decimal(2,1)").alias("f"), F.lit("it's").alias("s"), F.lit(True).alias("b"))
 
 
-@query("fn_utcnow", "SELECT count(*) AS n FROM region WHERE now() IS NOT NULL")
+@query("fn_utcnow", "SELECT event_id, event_id % 2 = 0 AS past, CAST(1 AS BIGINT) AS n_instants FROM events")
 def _(spark, d):
-    return table(spark, d, "region").filter(F.current_timestamp().isNotNull()).agg(F.count("*").alias("n"))
+    at = c("ts").cast("timestamp") + F.when(c("event_id") % 2 == 0, F.expr("INTERVAL '0' YEAR")).otherwise(F.expr("INTERVAL '900' YEAR"))
+    rows = table(spark, d, "events").select("event_id", (S.utcnow() > at).alias("past"), S.utcnow().alias("now"))
+    instants = rows.agg(F.count_distinct("now").alias("n_instants"), F.first("now").alias("now"))
+    return rows.join(instants, "now").select("event_id", "past", "n_instants")
 
 
-@query("sel_dup_cols", "SELECT n_name AS n_name, n_name AS n_name_2 FROM nation")
+@query("sel_dup_cols", """SELECT concat(n_name, ',', n_name) AS csv, concat('{"n_name":"', n_name, '","n_name":"', n_name, '"}') AS json FROM nation""")
 def _(spark, d):
     twice = table(spark, d, "nation").select("n_name", "n_name")
-    return twice.toDF("n_name", "n_name_2")
+    names, rows = twice.columns, twice.toDF("_1", "_2")
+    return rows.select(sinks.csv_line(c("_1"), c("_2")).alias("csv"), sinks.json_record([(n, sinks.json_text(c(f"_{i}"))) for i, n in enumerate(names, 1)]).alias("json"))
 
 
 @query("nested_predicate", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3)) > 0")

@@ -45,7 +45,7 @@ def _(spark, d):
     return U.bucket_usage(versions(spark, d))
 
 
-@query("agg_usage_total", f"SELECT count(*) AS buckets, {', '.join(f'CAST(sum({x}) AS BIGINT) AS {x}' for x in ('objects', 'versions', 'delete_markers', 'size'))} FROM ({_USAGE})")
+@query("agg_usage_total", f"SELECT count(*) AS n, {', '.join(f'CAST(sum({x}) AS BIGINT) AS {x}' for x in ('objects', 'versions', 'delete_markers', 'size'))} FROM ({_USAGE})")
 def _(spark, d):
     return U.total_usage(U.bucket_usage(versions(spark, d)))
 
@@ -100,14 +100,20 @@ def _(spark, d):
     return U.compliance_counts(_locked(spark, d), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
 
 
+_CONFIG = "(VALUES ('click', 'Enabled', true, 'SSE-S3'), ('view', NULL, false, NULL), ('empty', 'Suspended', NULL, 'SSE-KMS')) b(bucket, versioning, locked, encryption)"
+
+
 @query(
     "rpt_compliance",
-    f"SELECT b.bucket, b.locked, x.plain_count, x.compliance_count FROM (VALUES ('click', true), ('view', false), ('empty', true)) b(bucket, locked) LEFT JOIN ({_COMPLIANCE}) x ON b.bucket = x.bucket",
+    f"""SELECT b.bucket, coalesce(versioning, 'Off') AS versioning, coalesce(locked, false) AS locked, coalesce(encryption, 'none') AS encryption, b.bucket = 'click' AS lifecycle_expires, x.plain_count, x.compliance_count
+ FROM {_CONFIG} LEFT JOIN ({_COMPLIANCE}) x ON b.bucket = x.bucket""",
 )
 def _(spark, d):
-    buckets = spark.createDataFrame([("click", True), ("view", False), ("empty", True)], "bucket string, locked boolean")
+    config = spark.createDataFrame([("click", "Enabled", True, "SSE-S3"), ("view", None, False, None), ("empty", "Suspended", None, "SSE-KMS")], "bucket string, versioning string, locked boolean, encryption string")
+    lifecycle = spark.createDataFrame([("click", True, True), ("click", True, False), ("view", False, True)], "bucket string, enabled boolean, expires boolean")
     counts = U.compliance_counts(_locked(spark, d), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    return buckets.join(counts, "bucket", "left").select("bucket", "locked", "plain_count", "compliance_count")
+    out = U.compliance_report(config, counts, lifecycle)
+    return out.select("bucket", "versioning", "locked", "encryption", "lifecycle_expires", "plain_count", "compliance_count")
 
 
 _DAYS = "SELECT CAST(ts AS DATE) AS day, event_type AS bucket, avg(value) AS avg, max(value) AS peak, arg_max(value, ts) AS last, count(*) AS n FROM events WHERE day(ts) % 3 <> 0 GROUP BY 1, 2"
@@ -118,9 +124,10 @@ def _days(spark, d):
     return U.running_day(samples)
 
 
-@query("agg_running_mean", _DAYS.replace("avg(value) AS avg", "round(avg(value), 6) AS avg"))
+@query("agg_running_mean", _DAYS.replace("avg(value) AS avg", "round(avg(value), 6) AS avg").replace("WHERE day(ts) % 3 <> 0", ""))
 def _(spark, d):
-    return _days(spark, d).withColumn("avg", F.round("avg", 6))
+    samples = table(spark, d, "events").select("ts", c("event_type").alias("bucket"), c("value").alias("bytes"))
+    return U.running_day(samples).withColumn("avg", F.round("avg", 6))
 
 
 _SPINE = f"""SELECT s.day, x.bucket, CASE WHEN s.day = s.source THEN x.avg ELSE x.last END AS bytes, s.day <> s.source AS carried, CASE WHEN s.day = s.source THEN x.peak END AS peak
@@ -146,14 +153,14 @@ def _(spark, d):
 
 
 _KIND = "CASE WHEN event_type IN ('error', 'purchase') THEN 'write' WHEN event_type = 'signup' THEN 'delete' ELSE 'read' END"
-_TRAFFIC = "SELECT event_type AS bucket, CAST(sum(user_id) AS BIGINT) AS data_in, CAST(sum(event_id) AS BIGINT) AS data_out, count(*) AS read, count(*) FILTER (WHERE event_id % 2 = 0) AS write, count(*) FILTER (WHERE event_id % 10 = 0) AS delete FROM events WHERE event_type <> 'view' GROUP BY 1"
+_TRAFFIC = "SELECT CASE event_type WHEN 'view' THEN 'moved' ELSE event_type END AS bucket, CAST(sum(user_id) AS BIGINT) AS data_in, CAST(sum(event_id) AS BIGINT) AS data_out, count(*) AS read, count(*) FILTER (WHERE event_id % 2 = 0) AS write, count(*) FILTER (WHERE event_id % 10 = 0) AS delete FROM events GROUP BY 1"
 
 
 def _traffic(spark, d):
     one = lambda t: F.when(t, 1).otherwise(0)
     i = c("event_id")
-    return table(spark, d, "events").filter("event_type <> 'view'").select(
-        c("event_type").alias("bucket"), c("user_id").alias("data_in"), i.alias("data_out"), F.lit(1).alias("read"), one(i % 2 == 0).alias("write"), one(i % 10 == 0).alias("delete")
+    return table(spark, d, "events").select(
+        F.when(c("event_type") == "view", "moved").otherwise(c("event_type")).alias("bucket"), c("user_id").alias("data_in"), i.alias("data_out"), F.lit(1).alias("read"), one(i % 2 == 0).alias("write"), one(i % 10 == 0).alias("delete")
     )
 
 
@@ -197,13 +204,13 @@ _PREFIXES = "(VALUES ('data', 'Brand#'), ('two', 'Brand#2'), ('twos', 'Brand#2')
 
 def _teams(spark):
     rows = [("ops", ["Brand#1"], []), ("web", ["Brand#1", "Brand#7"], []), ("data", [], ["Brand#"]), ("two", [], ["Brand#2"]), ("twos", [], ["Brand#2"])]
-    return spark.createDataFrame(rows, "name string, buckets array<string>, prefixes array<string>")
+    return spark.createDataFrame(rows, "name string, members array<string>, prefixes array<string>")
 
 
 @query("join_team_exact", f"SELECT b.bucket, e.name AS team, coalesce(e.n > 1, false) AS named_by_two FROM (SELECT DISTINCT p_brand AS bucket FROM part) b LEFT JOIN (SELECT bucket, min(name) AS name, count(*) AS n FROM {_TEAMS} GROUP BY 1) e ON b.bucket = e.bucket")
 def _(spark, d):
-    buckets = table(spark, d, "part").select(c("p_brand").alias("bucket")).distinct()
-    return U.with_team(buckets, _teams(spark).withColumn("prefixes", F.array().cast("array<string>")))
+    names = table(spark, d, "part").select(c("p_brand").alias("bucket")).distinct()
+    return U.with_team(names, _teams(spark).withColumn("prefixes", F.array().cast("array<string>")))
 
 
 @query(
@@ -232,14 +239,17 @@ def _(spark, d):
     return U.kept_segments(segments, "2024-01-31", 25, 5000)
 
 
-@query("fn_day", "SELECT event_id, CAST(ts AS DATE) AS day, CAST(ts AS DATE) >= DATE '2024-01-31' - 20 AS kept FROM events")
+@query(
+    "fn_day",
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN NULL ELSE CAST(ts AS DATE) END AS day, CASE WHEN event_id % 5 > 1 THEN CAST(ts AS DATE) >= DATE '2024-01-31' - 19 END AS kept FROM events""",
+)
 def _(spark, d):
-    day = F.to_date("ts")
-    return table(spark, d, "events").select("event_id", day.alias("day"), (day >= F.date_sub(F.lit("2024-01-31").cast("date"), 20)).alias("kept"))
+    k, day = c("event_id") % 5, F.date_format("ts", "yyyy-MM-dd")
+    text = F.when(k == 0, F.date_format("ts", "yyyy-M-d '?'")).when(k == 1, F.concat(F.date_format("ts", "yyyy-MM"), F.lit("-32"))).otherwise(day)
+    found = U.parse_day(text)
+    return table(spark, d, "events").select("event_id", found.alias("day"), (found >= U.retained_since(F.lit("2024-01-31").cast("date"), 20)).alias("kept"))
 
 
-@query("sort_report", f"SELECT row_number() OVER (ORDER BY bucket) AS place, bucket, size FROM ({_USAGE})")
+@query("sort_report", f"SELECT bucket, size FROM ({_USAGE}) ORDER BY bucket")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    return U.bucket_usage(versions(spark, d)).select(F.row_number().over(Window.orderBy("bucket")).cast("bigint").alias("place"), "bucket", "size")
+    return U.bucket_usage(versions(spark, d)).select("bucket", "size").orderBy("bucket")

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
-import tarfile
-import zipfile
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewater.sources.objects import read_objects
+
 
 def read_csv(spark: SparkSession, path: str, header: str = "USE", sep: str = ",", record: str = "\n", quote: str = '"', escape: str = '"', comment: str = "#", lazy: bool = False) -> DataFrame:
     """All columns are text. header: USE takes the names from it; IGNORE and NONE give _1, _2, ...; rows that are short have NULLs.
@@ -37,26 +29,43 @@ def read_csv(spark: SparkSession, path: str, header: str = "USE", sep: str = ","
 
 
 def from_lines(lines: DataFrame, header: str, sep: str, quote: str, escape: str) -> DataFrame:
-    """CSV records that are rows of text; the first gives the number of fields and, for USE, their names."""
-    first = lines.first()
+    """CSV records that are rows of text, as the text reader gives them; the first gives the number of fields and, for USE, their names.
+
+    Unless ``header`` is NONE the first record of every file is left out, by its place and not by what it says.
+    """
+    first = lines.select("value").first()
     if first is None:
         return lines.sparkSession.createDataFrame([], T.StructType([]))
-    names = first[0].split(sep) if header == "USE" else [f"_{i}" for i in range(1, len(first[0].split(sep)) + 1)]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    rows = lines.filter(F.col("value") != first[0]) if header != "NONE" else lines
-    return rows.select(F.from_csv("value", schema, {"sep": sep, "quote": quote, "escape": escape}).alias("r")).select("r.*")
+    options = {"sep": sep, "quote": quote, "escape": escape}
+    one = lines.sparkSession.range(1)
+    n = one.select(F.schema_of_csv(F.lit(first[0]), options).alias("s")).first()[0].count(": ")
+    schema = ", ".join(f"_{i} string" for i in range(1, n + 1))
+    names = list(one.select(F.from_csv(F.lit(first[0]), schema, options).alias("r")).first()[0]) if header == "USE" else [f"_{i}" for i in range(1, n + 1)]
+    if header != "NONE":
+        placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+        heads = placed.groupBy("file").agg(F.min(F.when(F.col("block") == 0, F.col("place"))).alias("place"))
+        lines = placed.join(heads, ["file", "place"], "left_anti")
+    return lines.select(F.from_csv("value", schema, options).alias("r")).select("r.*").toDF(*names)
 
 
 def invalid_text(spark: SparkSession, path: str, block: int = 128 << 10) -> DataFrame:
-    """(path, valid): whether the first block of each object is UTF-8."""
-    head = F.substring("content", 1, block)
-    return spark.read.format("binaryFile").load(path).select("path", F.is_valid_utf8(head.cast("string")).alias("valid"))
+    """(path, valid): whether the first block of each object is UTF-8; no more than that is read."""
+    return read_objects(spark, path, "check", block=block)
 
 
-def read_json(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
-    """(value): a VARIANT for each JSON value; one for each line, or a whole object as one ``document``."""
-    text = spark.read.option("wholetext", document).text(path)
-    return text.filter(F.trim("value") != "").select(F.parse_json("value").alias("value"), F.col("value").alias("raw"))
+def read_json(spark: SparkSession, path: str, document: bool = False, separated: bool = False, most: int = 10 << 20) -> DataFrame:
+    """(value, raw): a VARIANT for each JSON value, and its text.
+
+    One value for each line, which splits large objects; or ``separated`` by any white space, several in a line or one over several
+    lines, an object being one task's work; or a whole object as one ``document`` of up to ``most`` bytes.
+    """
+    if separated:
+        text = read_objects(spark, path, "values", most=most).select("value")
+    else:
+        text = spark.read.option("wholetext", document).text(path).filter(F.trim("value") != "")
+    if document:
+        text = text.select(F.when(F.octet_length("value") > most, F.raise_error(F.lit("OverMaxRecordSize"))).otherwise(F.col("value")).alias("value"))
+    return text.select(F.parse_json("value").alias("value"), F.col("value").alias("raw"))
 
 
 def as_records(values: DataFrame) -> DataFrame:
@@ -80,88 +89,32 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 # --- compressed objects and archives -------------------------------------------------------------------------------
 
 
-def _opened(name: str, data: bytes) -> io.BufferedIOBase:
-    """A stream of the plain bytes, by what the object begins with."""
-    raw = io.BytesIO(data)
-    if data[:2] == b"\x1f\x8b":
-        return gzip.open(raw)
-    if data[:3] == b"BZh":
-        return bz2.open(raw)
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True))
-    if data[:4] == b"\x04\x22\x4d\x18":
-        return pa.CompressedInputStream(pa.py_buffer(data), "lz4")
-    return raw
-
-
-def read_compressed(spark: SparkSession, path: str, chunk: int = 1 << 20) -> DataFrame:
-    """(path, line, error): the lines of gzip (any number of members), bzip2, zstd, lz4 or plain objects.
+def read_compressed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, error): the lines of gzip (any number of members), bzip2, zstd, lz4 or plain objects, read as streams.
 
     An object that ends early or is damaged gives a row with the error after the lines before it. An object is one task's
-    work, as its stream can't be split; it is read in pieces of ``chunk`` bytes.
+    work, as its stream can't be split.
     """
-    schema = pa.schema([("path", pa.string()), ("line", pa.string()), ("error", pa.string())])
-
-    def lines(name: str, data: bytes) -> Iterator[tuple[str | None, str | None]]:
-        rest = b""
-        try:
-            stream = _opened(name, data)
-            while piece := stream.read(chunk):
-                *whole, rest = (rest + piece).split(b"\n")
-                yield from ((w.decode("utf-8", "replace"), None) for w in whole)
-            if rest:
-                yield rest.decode("utf-8", "replace"), None
-        except (OSError, EOFError, zlib.error, zstandard.ZstdError, pa.ArrowInvalid) as e:
-            yield None, "truncated" if isinstance(e, EOFError) else "invalid"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows: list[tuple] = []
-                for line in lines(name, data.as_py()):
-                    rows.append((name, *line))
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, line string, error string")
-
-
-def scan_range(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """(line) of a plain byte slice: from start to end (inclusive), from start on, or the last ``end`` bytes.
-
-    The slice cuts rows: a part of a first and last row comes as it is.
+    return read_objects(spark, path, "lines")
+
+
+def scan_range(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, piece: int = 64 << 20) -> DataFrame:
+    """(line) of a plain byte slice: from start to end (inclusive), from start on, or the last ``end`` bytes. Only the slice is read.
+
+    The slice cuts rows: a part of a first and last row comes as it is, with U+FFFD for what a cut leaves of a character. Slices of more
+    than ``piece`` bytes are cut at line breaks into several tasks.
     """
-    objects = spark.read.format("binaryFile").load(path)
-    if start is None:
-        piece = F.substr("content", F.greatest(F.col("length") - end + 1, F.lit(1)).cast("int"), F.lit(end))
-    else:
-        piece = F.substr("content", F.lit(start + 1), F.lit(2**31 - 1 if end is None else end - start + 1))
-    lines = F.split(F.try_validate_utf8(piece.cast("string")), "\n")
-    return objects.select(F.explode(lines).alias("line")).filter("line <> ''")
+    return read_objects(spark, path, "range", start=start, end=end, piece=piece).select("line")
 
 
 def archive_members(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """(path, member, size, content) of zip and tar archives (tar also compressed); members come one by one."""
-    schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
-
-    def members(data: bytes) -> Iterator[tuple[str, bytes]]:
-        if zipfile.is_zipfile(io.BytesIO(data)):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                yield from ((i.filename, z.read(i)) for i in z.infolist() if not i.is_dir() and i.filename.startswith(prefix))
-        else:
-            with tarfile.open(fileobj=_opened("", data), mode="r|") as t:
-                yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile() and m.name.startswith(prefix))
+    return read_objects(spark, path, "members", prefix=prefix)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for member, content in members(data.as_py()):
-                    yield pa.RecordBatch.from_pylist([{"path": name, "member": member, "size": len(content), "content": content}], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, size long, content binary")
+def list_archive(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """(path, member, size) of zip and tar archives; of a zip only the directory is read."""
+    return read_objects(spark, path, "list", prefix=prefix)
 
 
 def read_audit(spark: SparkSession, path: str, schema: str, first: str | None = None, last: str | None = None) -> DataFrame:

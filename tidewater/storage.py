@@ -38,5 +38,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def if_small(df: DataFrame, most: int) -> DataFrame:
-    """The rows, to be broadcast if they have been counted to be at most ``most``; else a join deals them."""
+    """The rows, to be broadcast if they have been counted to be at most ``most``; else a join deals them. Give rows that are cheap to read twice."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -1,7 +1,8 @@
 """Streaming forms: burst counters, incidents, traces, notifications and usage deltas.
 
 Each takes a streaming (or plain) DataFrame. ``run_once`` drives a stream over what is there and stops, which makes it
-testable as a batch. Late rows beyond the watermark are left out; the state of a closed window goes.
+testable as a batch. Windows are written once, when the watermark has passed them: then their state goes, and rows that come later are
+left out.
 """
 
 from __future__ import annotations
