@@ -52,3 +52,19 @@ def test_bounds_survive_large_values(spark):
     rows = [(i, [rng.choice([1e5, 1.0, 0.01]) * rng.gauss(0, 1) for _ in range(40)]) for i in range(400)]
     got, want = run(spark, rows, group=100)
     assert got == want
+
+
+def test_bounds_leave_values_unread(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) * 0.7**j for j in range(64)]) for i in range(3000)]
+    vectors = topk.quantised(spark.createDataFrame(rows, SCHEMA)).cache()
+    queries = vectors.filter("vec_id % 50 = 0")
+    read = topk.group_finds(vectors, queries, group=1000).groupBy("query_id").agg({"read": "max"}).toPandas()
+    assert read["max(read)"].mean() < 0.5 * 1000 * 64
+    assert vectors.unpersist()
+
+
+def test_queries_do_not_pass_a_shuffle(spark):
+    vectors = topk.quantised(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], SCHEMA))
+    plan = topk.group_finds(vectors, vectors.filter("vec_id % 50 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan and "explode" not in plan
