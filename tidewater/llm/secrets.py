@@ -23,7 +23,10 @@ from tidewater.llm.common import fresh_path, if_small
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of ``pattern`` whose ``group`` has ``least`` characters or more. ``inner``: the span is the group alone, which ends the match."""
+    """Matches of ``pattern`` whose ``group`` has ``least`` characters or more.
+
+    ``inner``: the span is the group alone, which ends the match. ``holds``: what every match holds, so that texts without it aren't searched.
+    """
 
     kind: str
     pattern: str
@@ -31,6 +34,7 @@ class Rule:
     least: int
     base: bool = True
     inner: bool = False
+    holds: str = ""
 
     @property
     def version(self) -> str:
@@ -44,7 +48,7 @@ RULES = (
     Rule("hex", r"([0-9a-f]{24,})", 1, 24),
     Rule("pem", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 1, False),
     # Only where no such character stands before: a run of them is read once, however often it begins anew.
-    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 1, False, True),
+    Rule("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 1, False, True, "eyJ"),
 )
 
 #: Blobs with findings whose addresses may be sent to every task.
@@ -66,7 +70,8 @@ def _pieces(text: Column, place: int, rule: Rule) -> Column:
         F.filter(parts, lambda p: p["match"].isNotNull()),
         lambda p, i: F.struct(F.lit(place).alias("rule"), i.alias("i"), F.length(p["gap"]).alias("gap"), F.length(p["match"]).alias("match"), F.length(p["core"]).alias("core")),
     )
-    return F.when(text.rlike(rule.pattern), lengths).otherwise(F.array().cast(PIECES))
+    there = text.contains(rule.holds) & text.rlike(rule.pattern) if rule.holds else text.rlike(rule.pattern)
+    return F.when(there, lengths).otherwise(F.array().cast(PIECES))
 
 
 def _scanned(unseen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
