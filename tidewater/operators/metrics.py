@@ -32,9 +32,15 @@ def cumulative(histogram: DataFrame, api: str = "api") -> DataFrame:
 
 
 def last_window(samples: DataFrame, by: str, seconds: int = 60) -> DataFrame:
-    """samples (ts, by, x) with the sum and mean of x over the last ``seconds`` one-second slots, the own one included."""
-    at = Window.partitionBy(by).orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-(seconds - 1), 0)
-    return samples.withColumns({"sum": F.sum("x").over(at), "avg": F.avg("x").over(at)})
+    """samples (ts, by, x) with the sum and mean of x over the last ``seconds`` one-second slots, the own one included.
+
+    A slot's samples are added up before the slots of a key are put in order, so a key's order is as long as its time and not as its samples.
+    """
+    slotted = samples.withColumn("_slot", F.unix_seconds(F.col("ts").cast("timestamp")))
+    slots = slotted.groupBy(by, "_slot").agg(F.sum("x").alias("_x"), F.count("x").alias("_n"))
+    at = Window.partitionBy(by).orderBy("_slot").rangeBetween(-(seconds - 1), 0)
+    sums = slots.select(by, "_slot", F.sum("_x").over(at).alias("sum"), (F.sum("_x").over(at) / F.sum("_n").over(at)).alias("avg"))
+    return slotted.join(sums, [by, "_slot"]).drop("_slot")
 
 
 def last_hour(failures: DataFrame, by: str) -> DataFrame:
