@@ -39,20 +39,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PerfectHash:
     """A minimal perfect hash of byte strings: hash and displace, one slot for each key.
 
-    Keys are dealt to buckets by one hash. From the largest bucket on, each bucket gets the first displacement
-    that sends its keys to free slots; a bucket of one key takes a free slot directly, stored as a negative number.
+    Keys are dealt to groups by one hash. From the largest group on, each group gets the first displacement
+    that sends its keys to free slots; a group of one key takes a free slot directly, stored as a negative number.
     """
 
     def __init__(self, keys: list[bytes]):
         self.n = max(1, len(keys))
-        self.buckets = self.n // 4 + 1
-        by_bucket: dict[int, list[int]] = {}
+        self.groups = self.n // 4 + 1
+        by_group: dict[int, list[int]] = {}
         hashes = [xxhash.xxh64_intdigest(k) for k in keys]
         for i, h in enumerate(hashes):
-            by_bucket.setdefault(h % self.buckets, []).append(i)
-        self.moves = array("q", bytes(8 * self.buckets))
+            by_group.setdefault(h % self.groups, []).append(i)
+        self.moves = array("q", bytes(8 * self.groups))
         self.slots: list[int] = [-1] * self.n
-        for b, members in sorted(by_bucket.items(), key=lambda x: -len(x[1])):
+        for b, members in sorted(by_group.items(), key=lambda x: -len(x[1])):
             if len(members) == 1:
                 break
             d = 1
@@ -65,7 +65,7 @@ class PerfectHash:
             for i in members:
                 self.slots[self._slot(hashes[i], d)] = i
         free = (p for p, i in enumerate(self.slots) if i < 0)
-        for b, members in by_bucket.items():
+        for b, members in by_group.items():
             if len(members) == 1:
                 p = next(free)
                 self.moves[b], self.slots[p] = -p - 1, members[0]
@@ -76,7 +76,7 @@ class PerfectHash:
     def __call__(self, key: bytes) -> int:
         """The index of ``key`` in the keys, if it is one of them; else that of any other."""
         h = xxhash.xxh64_intdigest(key)
-        d = self.moves[h % self.buckets]
+        d = self.moves[h % self.groups]
         return self.slots[-d - 1 if d < 0 else self._slot(h, d)]
 
 
@@ -89,6 +89,7 @@ class Encoder:
         self.ids = list(ranks.values())
         self.find = PerfectHash(self.tokens)
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.shown = {i: str(i) for i in self.ids}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -183,7 +184,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 for text in batch.column(1):
                     ids = coder.encode(text.as_py() or "")
                     n.append(len(ids))
-                    digests.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    digests.append(hashlib.sha256(",".join(map(coder.shown.__getitem__, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(coder.decode(ids)).hexdigest())
                     if keep_ids:
                         kept.append(np.array(ids, dtype=np.int32))

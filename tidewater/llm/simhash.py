@@ -7,7 +7,7 @@ share a variant are verified on all 64 bits.
 
 Distinct fingerprints may be crowded (thousands of light edits of one text share a segment), and then a variant's
 bucket would hold a square number of pairs. A bucket of up to ``BUCKET`` fingerprints is verified pair by pair.
-The fingerprints of larger buckets take an exact way without pairs: the wildcard runs over the whole fingerprint,
+The fingerprints of larger ones take an exact way without pairs: the wildcard runs over the whole fingerprint,
 and everything within one bit of a centre is linked to the smallest fingerprint around that centre. Members of one
 centre differ in at most two bits, and any two fingerprints that differ in at most two bits have a common centre, so no
 link is lost and none is made up.
@@ -76,7 +76,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that connect everything within two bits.
 
-    ``fps`` has one column ``fp`` of distinct values. Pairs of sparse buckets are all there; crowded ones
+    ``fps`` has one column ``fp`` of distinct values. Pairs of sparse variants are all there; crowded ones
     are given as stars, which connect the same fingerprints.
     """
     shift = lambda c, n: F.shiftrightunsigned(c, n)
@@ -88,12 +88,12 @@ def links(fps: DataFrame) -> DataFrame:
             + F.expr("shiftrightunsigned(fp, shiftright(w, 5) * 32) & 4294967295L & ~shiftleft(1L, w & 31)")
         ).alias("variant"),
     )
-    buckets = index.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    buckets = written(buckets.filter("n > 1"), "simhash-buckets")
+    groups = index.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    groups = written(groups.filter("n > 1"), "simhash-variants")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    pairs = buckets.filter("n = 2").select("a", "b")
+    pairs = groups.filter("n = 2").select("a", "b")
     # The merge join deals both sides alike at every size, and Spark splits a hot variant's partition.
-    some = index.join(buckets.filter(F.col("n") > 2).select("variant", "n").hint("merge"), "variant")
+    some = index.join(groups.filter(F.col("n") > 2).select("variant", "n").hint("merge"), "variant")
     few = some.filter(F.col("n") <= BUCKET).select("variant", "fp")
     few_pairs = few.alias("x").join(few.alias("y"), "variant").filter("x.fp < y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     found = pairs.unionByName(few_pairs).filter(close)
