@@ -66,3 +66,25 @@ def test_columns(spark):
     assert [len(r.ids) for r in kept] == [r.n_tokens for r in kept] == [2, 0]
     back = bpe.decoded(bpe.with_ids(docs, PATH, P.PATTERN), PATH, P.PATTERN).toPandas()
     assert [bytes(b) for b in back.decoded] == [b"some text", b""]
+
+
+def test_remembering_changes_no_ids(oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    coder = bpe.Encoder(bpe.read_ranks(PATH), P.PATTERN)
+    for t in texts()[:60] * 2:
+        assert coder.encode(t) == oracle.encode_ordinary(t), repr(t)
+    assert len(coder.known) <= 3 and len(coder.known.older) <= 3
+    assert max(map(len, coder.known)) <= bpe.SHORT
+
+
+def test_both_splitters_agree():
+    coder = bpe.encoder(PATH, P.PATTERN)
+    assert coder.split_quick
+    rng = random.Random(2)
+    first_plane = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    ends = "  \n\t\x1c\x85 　'sre1½٣Aaßñ漢"
+    for _ in range(3000):
+        t = "".join(rng.choice(ends) if rng.random() < 0.6 else rng.choice(first_plane) for _ in range(rng.randrange(60)))
+        assert coder.split_quick(t) == coder.split_any(t), repr(t)
+    assert bpe.first_plane_pattern(r"\w+") is None
+    assert bpe.first_plane_pattern(r"[a\S]+") is None

@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -26,8 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens whose ids a task keeps at hand.
-REMEMBERED = 200_000
+#: Pre-tokens whose ids a worker keeps at hand, twice over (at most 0.2 GB), and the length in characters up to which it keeps one.
+REMEMBERED = 400_000
+SHORT = 64
+
+#: Up to here the character classes of ``re`` are one lookup.
+_PLANE = 0x10000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,6 +85,65 @@ class PerfectHash:
         return self.slots[-d - 1 if d < 0 else self._slot(h, d)]
 
 
+class Remembered(dict):
+    """Pre-token -> ids, computed when first asked for.
+
+    When it is full it becomes the older generation and a new one begins; what is asked for again comes over. So frequent
+    pre-tokens stay, however many rare ones pass.
+    """
+
+    def __init__(self, compute: Callable[[bytes], tuple[int, ...]]):
+        super().__init__()
+        self.compute = compute
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.compute(piece.encode())
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def _ranges(escape: str) -> str:
+    """The characters of the first plane that an escape like ``\\p{L}`` takes, as ranges of a class."""
+    taken = regex.compile(escape).match
+    inside = [c for c in range(_PLANE) if not 0xD800 <= c < 0xE000 and taken(chr(c))]
+    starts = [c for i, c in enumerate(inside) if not i or inside[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(inside) if i + 1 == len(inside) or inside[i + 1] != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+def first_plane_pattern(pattern: str) -> re.Pattern | None:
+    """The same pattern for the faster ``re``, for texts without characters beyond the first plane.
+
+    Properties and white space are written as ranges. None if the pattern has escapes that can't be written so.
+    """
+    out, inside = [], False
+    for part in regex.findall(r"\\p\{\w+\}|\\.|\[\^?|.", pattern, flags=regex.DOTALL):
+        if part.startswith("\\p") or part == r"\s":
+            part = _ranges(part) if inside else f"[{_ranges(part)}]"
+        elif part == r"\S" and not inside:
+            part = f"[^{_ranges(r'\s')}]"
+        elif part.startswith("\\") and part not in (r"\r", r"\n"):
+            return None
+        elif part.startswith("["):
+            if inside:
+                return None
+            inside = True
+        elif part == "]":
+            inside = False
+        out.append(part)
+    try:
+        return re.compile("".join(out))
+    except re.error:
+        return None
+
+
 class Encoder:
     """Encodes and decodes with one vocabulary and one split pattern."""
 
@@ -90,8 +154,16 @@ class Encoder:
         self.find = PerfectHash(self.tokens)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.shown = {i: str(i) for i in self.ids}
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.split_any = regex.compile(pattern).findall
+        quick = first_plane_pattern(pattern)
+        self.split_quick = quick.findall if quick else None
+        self.known = Remembered(self.piece)
+
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a whole text."""
+        if self.split_quick and (text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)):
+            return self.split_quick(text)
+        return self.split_any(text)
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
@@ -121,16 +193,7 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        known, pieces = self.known, self.split(text)
-        try:
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for p in pieces:
-                if p not in known:
-                    known[p] = self.piece(p.encode())
-            return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for."""
