@@ -96,3 +96,18 @@ def test_compare_over_batches():
         for k, d, _, _ in rows:
             docs.setdefault(k, set()).add(d)
         assert sorted(got) == sorted((k, d, p, d != min(docs[k])) for k, d, _, p in rows if len(docs[k]) > 1)
+
+
+@pytest.mark.parametrize("bits", [0, 9])
+def test_words_decide_where_hashes_are_weak(spark, bits):
+    rows = corpus(12)[:130:2]
+    assert run(spark, rows, length=12, window=5, gram=2, bits=bits) == plain(rows, 12)
+
+
+def test_every_witness_is_another_document(spark):
+    rng = np.random.default_rng(4)
+    rows = {(int(k), int(d), int(d) * 10, int(p)) for k, d, p in zip(rng.integers(0, 9, 500), rng.integers(0, 30, 500), rng.integers(0, 4, 500), strict=True)}
+    got = suffixes.shared_rows(spark.createDataFrame(sorted(rows), suffixes.ROWS), "rows").collect()
+    where = {(k, t, p): d for k, d, t, p in rows}
+    assert got and all(where[r.key, r.w_text, r.w_pos] != r.doc for r in got)
+    assert all((where[r.key, r.w_text, r.w_pos] < r.doc) == r.later for r in got)
