@@ -123,6 +123,16 @@ def test_incidents_open_go_on_and_close(spark):
     assert [r.opened for r in later.collect()] == [at(40)]
 
 
+def test_filters_leave_incidents_whole(spark):
+    at = lambda m: dt.datetime(2023, 7, 8, 10) + dt.timedelta(minutes=m)
+    rows = [(at(m), "b", "deleted", n) for m, n in ((0, 9), (15, 2), (29, 3), (60, 8), (70, 4), (90, 1))]
+    found = bursts.incidents(spark.createDataFrame(rows, "ts timestamp_ntz, bucket string, kind string, n long"))
+    stored = lambda t, days: sorted((r.opened, r.closed, r.peak, r.seen) for r in bursts.stored(found, F.lit(t).cast("timestamp_ntz"), days).collect())
+    assert [(r.opened, r.closes, r.peak) for r in found.filter(F.col("closes") >= at(40)).filter(F.col("opened") < at(50)).collect()] == [(at(0), at(44), 9)]
+    assert stored(at(62), 1) == [(at(0), at(44), 9, 3), (at(60), None, 8, 2)]
+    assert stored(at(40) + dt.timedelta(days=1), 1) == [(at(0), at(44), 9, 3), (at(60), at(85), 8, 2), (at(90), at(105), 1, 1)]
+
+
 def test_access_for_everyone_and_members(spark):
     people = spark.createDataFrame([("ann",), ("bob",)], "principal string")
     members = spark.createDataFrame([("bob", "team")], "principal string, member_of string")

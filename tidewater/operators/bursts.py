@@ -69,11 +69,14 @@ def credential_bursts(counts: DataFrame, found: DataFrame, level: DataFrame, flo
 
 
 def incidents(bursts: DataFrame, quiet: str = "15 minutes") -> DataFrame:
-    """Bursts (ts, bucket, kind, n) of one bucket and kind as incidents that a quiet time closes; also for streams."""
+    """Bursts (ts, bucket, kind, n) of one bucket and kind as incidents that a quiet time closes; also for streams.
+
+    opened and closes are aggregates of ts and not the session's bounds: Spark moves a filter on those below the aggregate, where it cuts incidents.
+    """
     session = F.session_window("ts", quiet)
-    return bursts.groupBy(session.alias("s"), "bucket", "kind").agg(F.max("n").alias("peak"), F.count("*").alias("seen")).select(
-        F.col("s.start").alias("opened"), F.col("s.end").alias("closes"), "bucket", "kind", "peak", "seen"
-    )
+    closes = F.max("ts") + F.lit(quiet).cast("interval")
+    found = bursts.groupBy(session.alias("s"), "bucket", "kind").agg(F.min("ts").alias("opened"), closes.alias("closes"), F.max("n").alias("peak"), F.count("*").alias("seen"))
+    return found.select("opened", "closes", "bucket", "kind", "peak", "seen")
 
 
 def stored(incidents: DataFrame, now: Column, keep_days: int = 90) -> DataFrame:
