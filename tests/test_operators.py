@@ -1,6 +1,9 @@
 """The store's operators on small inputs with known answers."""
 
 import datetime as dt
+import random
+import re
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,6 +237,37 @@ def test_decaying_average(spark):
     assert abs(metrics.decaying(df, "by").first().ewma - want) < 1e-12
 
 
+def test_alert_windows_against_all_pairs(spark):
+    rng, hour = random.Random(4), dt.timedelta(hours=1)
+    times = [dt.datetime(1969, 12, 31, 23, 59) + dt.timedelta(microseconds=rng.randrange(90_000_000)) for _ in range(400)]
+    times += [t + dt.timedelta(seconds=k) for t in times[:40] for k in (7, 14)] + [T0, T0 + hour, T0 + hour + dt.timedelta(seconds=7), T0 + hour + dt.timedelta(seconds=7, microseconds=1)]
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), t, rng.choice([None, *range(20)])) for i, t in enumerate(times)]
+    rows += [(len(rows) + i, by, t, v) for i, (_, by, t, v) in enumerate(rows[:50])]  # equal samples
+    df = spark.createDataFrame(rows, "id long, by string, ts timestamp_ntz, value long")
+    got = {r.id: tuple(r)[1:] for r in metrics.over_time(df, "by", 7).select("id", "increase", "rate", "delta", "max_over_time").collect()}
+    second = lambda t: t.replace(microsecond=0)
+    for by in ("a", "b", None):
+        mine = sorted((r for r in rows if r[1] == by), key=lambda r: (r[2], -1 if r[3] is None else r[3]))
+        steps = [0] + [0 if None in (v, u) else v if v < u else v - u for (_, _, _, u), (_, _, _, v) in pairwise(mine)]
+        for i, _, t, v in mine:
+            since = t - dt.timedelta(seconds=7)
+            total = sum(n for n, r in zip(steps, mine, strict=True) if second(since) <= second(r[2]) <= second(t))
+            first = next(r[3] for r in mine if r[2] >= since)
+            most = max((r[3] for r in mine if r[3] is not None and second(since) <= second(r[2]) <= second(t)), default=None)
+            assert got.pop(i) == (total, total / 7, None if None in (v, first) else v - first, most)
+    assert not got
+    assert {r.id: r.increase for r in metrics.increase(df, "by", 7).collect()} == {r.id: r.increase for r in metrics.over_time(df, "by", 7).collect()}
+
+
+def test_alert_windows_are_running_aggregates_of_blocks(spark):
+    df = spark.range(5).select(F.timestamp_seconds("id").alias("ts"), (F.col("id") % 2).alias("by"), F.col("id").alias("value"))
+    plan = metrics.over_time(df, "by", 21600)._jdf.queryExecution().optimizedPlan().toString()
+    specs = re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe\((.*?), currentrow|windowspecdefinition\((.*?), specifiedwindowframe\((RowFrame, -?1)", plan)
+    assert len(specs) >= 6
+    assert all(re.match(r"by#\d+L, _block#", a or b) for a, _, b, _ in specs)
+    assert {x or y for _, x, _, y in specs} == {"RangeFrame, unboundedpreceding$()", "RowFrame, unboundedpreceding$()", "RowFrame, -1", "RowFrame, 1"}
+
+
 def test_sites(spark):
     rows = [(s, "all", "v") for s in "abc"] + [("a", "some", "v"), ("a", "differ", "v"), ("b", "differ", "v"), ("c", "differ", "w")]
     got = {r.entity: r.replicated for r in sites.site_status(spark.createDataFrame(rows, "site string, entity string, value string"), 3).collect()}

@@ -79,22 +79,55 @@ def merge_nodes(metrics: DataFrame) -> DataFrame:
 
 def increase(series: DataFrame, by: str, seconds: int) -> DataFrame:
     """series (ts, by, value) of a counter with its increase over the last ``seconds``; a fall is a restart from zero."""
-    order = Window.partitionBy(by).orderBy("ts")
-    step = F.col("value") - F.lag("value").over(order)
-    grown = series.withColumn("_step", F.when(step < 0, F.col("value")).otherwise(F.coalesce(step, F.lit(0))))
-    at = Window.partitionBy(by).orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
-    return grown.withColumn("increase", F.sum("_step").over(at)).drop("_step")
+    return over_time(series, by, seconds).select(*series.columns, "increase")
 
 
 def over_time(series: DataFrame, by: str, seconds: int) -> DataFrame:
     """series (ts, by, value) with what alert rules ask of the last ``seconds``: increase and rate (a second) of a counter, delta and max_over_time of a gauge.
 
-    delta is the value less the first of the window. All come from one sort of each key's samples.
+    delta is the value less the first of the window. Samples of one instant are in order of their values.
+
+    Time is cut into blocks as long as a window, so a window is the beginning of its sample's block and the end of the block before. Both are
+    running aggregates: the end is read off by a second row of each sample, a probe, that lies in the block before, where the window begins.
+    So the work doesn't grow with what a window holds, and a task has blocks of a key and not the whole key.
     """
-    clock = Window.partitionBy(by).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    at = Window.partitionBy(by).orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-seconds, 0)
-    grown = increase(series, by, seconds)
-    return grown.withColumns({"rate": F.col("increase") / seconds, "delta": F.col("value") - F.first("value").over(clock), "max_over_time": F.max("value").over(at)})
+    ts = F.col("ts").cast("timestamp")
+    rows = _stepped(series.withColumns({"_s": F.unix_seconds(ts), "_t": F.unix_micros(ts), "_block": F.floor(F.unix_seconds(ts) / seconds)}), by)
+    block = Window.partitionBy(by, "_block")
+    so_far = block.orderBy(F.asc_nulls_last("_s")).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_first", F.first("value").over(_in_order(by).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"_sum": F.sum("_step").over(so_far), "_max": F.max("value").over(so_far)})
+
+    probe = F.col("_probe")
+    both = rows.withColumn("_probe", F.explode(F.array(F.lit(False), F.lit(True)))).filter(probe | F.col("_s").isNotNull())
+    carried = [F.when(probe, F.col(x)).alias(x) for x in [*series.columns, "_first", "_sum", "_max"] if x not in (by, "value")]
+    back = probe.cast("bigint")
+    places = [(F.col(x) - back * n).alias(x) for x, n in (("_block", 1), ("_s", seconds), ("_t", seconds * 1_000_000))]
+    both = both.select(by, "value", *carried, "_probe", F.when(~probe, F.col("_step")).alias("_step"), *places)
+    exact, whole = [block.orderBy(*map(F.desc, keys)).rangeBetween(Window.unboundedPreceding, 0) for keys in (("_s", "_t"), ("_s",))]
+    both = both.withColumn("_first_before", F.min(F.when(~probe, F.struct("_t", "value"))).over(exact))
+    both = both.withColumns({"_sum_before": F.sum("_step").over(whole), "_max_before": F.max(F.when(~probe, F.col("value"))).over(whole)})
+
+    total = F.col("_sum") + F.coalesce("_sum_before", F.lit(0))
+    first = F.when(F.col("_first_before").isNull(), F.col("_first")).otherwise(F.col("_first_before")["value"])
+    return both.filter(probe).select(
+        *series.columns, total.alias("increase"), (total / seconds).alias("rate"), (F.col("value") - first).alias("delta"), F.greatest("_max", "_max_before").alias("max_over_time")
+    )
+
+
+def _in_order(by: str) -> Window:
+    """A block's samples, those without a time last; the seconds stand before so that one sort serves all windows."""
+    return Window.partitionBy(by, "_block").orderBy(F.asc_nulls_last("_s"), F.asc_nulls_last("_t"), "value")
+
+
+def _stepped(rows: DataFrame, by: str) -> DataFrame:
+    """rows (by, _block, _s, _t, value) with _step, the growth since the sample before; each block begins with a copy of the last sample before it, which goes again."""
+    lasts = rows.groupBy(by, "_block").agg(F.max(F.struct("_s", "_t", "value")).alias("_last"))
+    following = F.lead(F.struct("_block")).over(Window.partitionBy(by).orderBy(F.asc_nulls_last("_block")))
+    copies = lasts.withColumn("_next", following).filter("_next IS NOT NULL").select(by, "_next._block", "_last.*", F.lit(True).alias("_copy"))
+    step = F.col("value") - F.lag("value").over(_in_order(by))
+    both = rows.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True)
+    return both.withColumn("_step", F.when(step < 0, F.col("value")).otherwise(F.coalesce(step, F.lit(0)))).filter("NOT _copy").drop("_copy")
 
 
 def predict_linear(series: DataFrame, by: str, ahead: int) -> DataFrame:
