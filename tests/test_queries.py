@@ -43,6 +43,18 @@ def test_same_as_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(names, cursor.fetchall())
 
 
+def test_alert_rates_equal_the_sql_to_the_last_place(spark, tmp_path):
+    events = f"""SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_microseconds(i * 7000013) AS ts, (i * 7919) % 1500 + (i % 60) * {{shift}} AS user_id, concat('t', i % 3) AS event_type FROM range(3000) r(i)"""
+    for shift in (0, 100_000_000, 1_000_000_000_000):
+        folder = tmp_path / str(shift)
+        folder.mkdir()
+        con = duckdb.connect()
+        con.execute(f"COPY ({events.format(shift=shift)}) TO '{folder}/events.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+        want = sorted(con.execute(f"SELECT event_id, increase, rate, delta, most FROM ({all_sql()['win_promql']})").fetchall())
+        assert sorted(map(tuple, all_queries()["win_promql"](spark, str(folder)).collect())) == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

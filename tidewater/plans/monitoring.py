@@ -247,7 +247,8 @@ def _(spark, d):
 def _(spark, d):
     series = table(spark, d, "events").select("event_id", "ts", "event_type", c("user_id").alias("value"))
     out = M.over_time(series, "event_type", 21600)
-    return out.select("event_id", "increase", F.round("rate", 9).alias("rate"), "delta", c("max_over_time").alias("most"))
+    rate = F.round(c("rate") * 1e9) / 1e9  # in doubles like the SQL; round(x, 9) goes by the decimal text and gives other last places from about 1e5 on
+    return out.select("event_id", "increase", rate.alias("rate"), "delta", c("max_over_time").alias("most"))
 
 
 @query("win_predict_linear", "SELECT event_type, round(regr_intercept(value, t) + regr_slope(value, t) * (max(t) + 604800), 4) AS predicted FROM (SELECT *, e - min(e) OVER (PARTITION BY event_type) AS t FROM (SELECT *, CAST(epoch(date_trunc('second', ts)) AS DOUBLE) AS e FROM events)) GROUP BY 1")
